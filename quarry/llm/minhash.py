@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed.join(pivots.select("cluster", "pivot"), "cluster").select("id", "cluster", "pivot"), "clustered"
     )
     members = store.put(members.join(of_class.select(F.col("rep").alias("id"), "h1", "h2"), "id"), "clustered")
-    sets = store.put(plain.join(members, "id").mapInArrow(_member_sets, "id long, cluster long, pivot long, n long, items binary").dropDuplicates(["id"]), "sets")
+    # Members grow with the corpus: a merge join at every size, never a broadcast of them.
+    sets = store.put(plain.hint("merge").join(members, "id").mapInArrow(_member_sets, "id long, cluster long, pivot long, n long, items binary").dropDuplicates(["id"]), "sets")
     centre = sets.where("id = pivot").select(F.col("cluster"), F.col("items").alias("pivot_items"))
     star = store.put(sets.where("id <> pivot").join(centre, "cluster").select("id", "pivot", "items", "pivot_items").mapInArrow(_verify_star, "a long, b long, linked boolean"), "star")
     links = star.where("linked").select("a", "b")
