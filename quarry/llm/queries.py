@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.minhash import near_duplicates
+from quarry.llm.packing import cut_pieces, place, plan_places
+from quarry.llm.simple8b import token_file
+from quarry.llm.store import Store
+from quarry.llm.token_counts import context_totals, length_histogram
+from quarry.llm.tokens import tokenizer_path
 from quarry.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
 from quarry.llm.toxicity import fit_toxicity, with_toxicity
 
@@ -28,9 +33,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, "packing")
+    pieces = cut_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, store=store)
+    plan = plan_places(pieces, store)
+    return place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), plan)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_totals(length_histogram(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_token_id_output": op5_token_id_output,
+    "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
