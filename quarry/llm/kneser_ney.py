@@ -10,31 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from quarry.llm.words import _FOLD, _powers, mix
+from quarry.llm.words import _FOLD
 
 ORDER = 6
 SHARED = 3
 _START, _END = 1, 2
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_LETTER[128:] = True
-
-
-def letter_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of runs of letters, and the rows' offsets into them."""
-    inside = _LETTER[buf]
-    first, last = inside.copy(), inside.copy()
-    if len(buf):
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        full = off[:-1] < off[1:]
-        first[off[:-1][full]] = inside[off[:-1][full]]
-        last[off[1:][full] - 1] = inside[off[1:][full] - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_FOLD[buf].astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, off)
 
 
 def spelt(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

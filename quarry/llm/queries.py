@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.decontamination import benchmark_leaks
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.packing import cut_pieces, place, plan_places
 from quarry.llm.simple8b import token_file
@@ -48,12 +49,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_histogram(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_id_output": op5_token_id_output,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.llm.cache import HashCache
-from quarry.llm.kneser_ney import ClassModels, letter_words, spelt
+from quarry.llm.kneser_ney import ClassModels, spelt
 from quarry.llm.store import Store
-from quarry.llm.words import row_chunks, text_buffer
+from quarry.llm.words import LETTERS, byte_runs, row_chunks, text_buffer
 
 #: Labelled rows that are learnt from at most: a hashed sample of them beyond that.
 MAX_TRAIN = 200_000
@@ -57,7 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, off = text_buffer(batch.column(1))
         for a, b in row_chunks(off, _CHUNK):
             part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
-            starts, ends, hashes, rows = letter_words(part, at)
+            starts, ends, hashes, rows = byte_runs(part, at, LETTERS)
             which = np.repeat(label[a:b], np.diff(rows))
             for k in (0, 1):
                 own = np.flatnonzero(which == k)
@@ -80,7 +80,7 @@ def features(models: ClassModels, column: pa.Array, cache: HashCache) -> np.ndar
     out = np.zeros((len(column), 4))
     for a, b in row_chunks(off, _CHUNK):
         part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
-        starts, ends, hashes, rows = letter_words(part, at)
+        starts, ends, hashes, rows = byte_runs(part, at, LETTERS)
         if not len(starts):
             continue
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)

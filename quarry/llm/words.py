@@ -15,8 +15,13 @@ import pyarrow as pa
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+WORD_BYTES = np.ones(256, bool)
+WORD_BYTES[[32, 9, 10, 11, 12, 13]] = False
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = True
+LETTERS[128:] = True
+LETTERS_DIGITS = LETTERS.copy()
+LETTERS_DIGITS[48:58] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -65,20 +70,6 @@ def row_chunks(off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all words of a buffer; words never cross rows."""
-    inside = ~_SPACE[buf]
-    first, last = inside.copy(), inside.copy()
-    if len(buf):
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        edge = off[:-1][off[:-1] < off[1:]]
-        first[edge] = inside[edge]
-        edge = off[1:][off[:-1] < off[1:]] - 1
-        last[edge] = inside[edge]
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
-
-
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of byte spans, by one prefix sum over the buffer."""
     up, down = _powers(len(buf) + 1)
@@ -88,13 +79,27 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def byte_runs(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the rows' maximal runs of bytes in ``table``, and the rows' offsets."""
+    inside = table[buf]
+    first, last = inside.copy(), inside.copy()
+    if len(buf):
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        full = off[:-1] < off[1:]
+        first[off[:-1][full]] = inside[off[:-1][full]]
+        last[off[1:][full] - 1] = inside[off[1:][full] - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, span_hashes(buf, starts, ends), np.searchsorted(starts, off)
+
+
 def hashed_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For ranges of rows: first row, end row, word hashes, and the rows' n + 1 offsets into them."""
     buf, off = text_buffer(column)
     for a, b in row_chunks(off):
         part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
-        starts, ends = word_spans(part, at)
-        yield a, b, span_hashes(part, starts, ends), np.searchsorted(starts, at)
+        _, _, hashes, rows = byte_runs(part, at, WORD_BYTES)
+        yield a, b, hashes, rows
 
 
 def shingles(words: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
