@@ -9,6 +9,7 @@ apostrophe).  A text that may hold a special token's string is encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -20,17 +21,24 @@ from quarry.llm.words import row_chunks, span_hashes, text_buffer
 
 _CHUNK = 2 << 20
 _MOST_KEYS, _MOST_IDS = 1_500_000, 12_000_000
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[33:127] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_PUNCT = _VISIBLE & ~_LETTER
-_PUNCT[48:58] = False
-#: First bytes of two-byte characters from U+00C0 on: none of these is white space.
-_TWO = np.zeros(256, bool)
-_TWO[0xC3:0xE0] = True
+#: What a byte is: white space, lone-cut white space, visible ASCII, ASCII letter, ASCII punctuation,
+#: first byte of a two-byte character from U+00C0 on (never white space), later byte of a character.
+_WHITE, _BREAK, _VISIBLE, _LETTER, _PUNCT, _TWO, _LATER = (1 << i for i in range(7))
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[[9, 10, 11, 12, 13]] = _WHITE | _BREAK
+    kinds[32] = _WHITE
+    kinds[33:127] = _VISIBLE | _PUNCT
+    kinds[48:58] = _VISIBLE
+    kinds[65:91] = kinds[97:123] = _VISIBLE | _LETTER
+    kinds[0x80:0xC0] = _LATER
+    kinds[0xC3:0xE0] = _TWO
+    return kinds
+
+
+_KINDS = _kinds()
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,14 +53,12 @@ def piece_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(buf)
     cut = np.zeros(n + 1, bool)
     if n:
-        seen = _VISIBLE[buf]  # the last byte of a character that is certainly not white
-        seen[1:] |= _TWO[buf[:-1]] & (buf[1:] >= 0x80)
-        begins = _VISIBLE[buf] | _TWO[buf]
-        white = _WHITE[buf]
-        cut[1:n] |= white[1:] & seen[:-1]
-        cut[1:n] |= _LETTER[buf[:-1]] & _PUNCT[buf[1:]]
-        lone = white & (buf != 32)
-        cut[2:n] |= begins[2:] & lone[1:-1] & seen[:-2]
+        kind = _KINDS[buf]
+        seen = (kind & _VISIBLE) > 0  # the last byte of a character that is certainly not white
+        seen[1:] |= ((kind[:-1] & _TWO) > 0) & ((kind[1:] & _LATER) > 0)
+        cut[1:n] = ((kind[1:] & _WHITE) > 0) & seen[:-1]
+        cut[1:n] |= ((kind[:-1] & _LETTER) > 0) & ((kind[1:] & _PUNCT) > 0)
+        cut[2:n] |= ((kind[1:-1] & _BREAK) > 0) & ((kind[2:] & (_VISIBLE | _TWO)) > 0) & seen[:-2]
     cut[off] = False
     cut[off[:-1][off[:-1] < off[1:]]] = True
     return np.flatnonzero(cut)
@@ -67,6 +73,9 @@ class TokenEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a tokenizer that lower-cases and drops white space: pieces that differ in these alone are one
+        lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
+        self.folds = lowers and len({tuple(x) for x in self._library(["ab", " ab", "\nAB"])}) == 1
         self._clear()
 
     def _clear(self) -> None:
@@ -110,14 +119,17 @@ class TokenEncoder:
         for a, b in row_chunks(off, _CHUNK):
             part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
             starts = piece_starts(part, at)
+            begins = starts
             ends = np.append(starts[1:], len(part)) if len(starts) else starts
-            hashes = span_hashes(part, starts, ends, fold=False)
+            if self.folds and len(starts):
+                starts = starts + ((_KINDS[part[starts]] & _WHITE) > 0)
+            hashes = span_hashes(part, starts, ends, fold=self.folds)
             unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             spots = self._spots(unique, part.tobytes(), starts[first], ends[first])[inverse]
             ends_at = np.cumsum(spots[:, 1])
             total = int(ends_at[-1]) if len(ends_at) else 0
             ids = self.pool[np.repeat(spots[:, 0] - (ends_at - spots[:, 1]), spots[:, 1]) + np.arange(total)]
-            yield a, b, ids, np.concatenate([[0], ends_at])[np.searchsorted(starts, at)]
+            yield a, b, ids, np.concatenate([[0], ends_at])[np.searchsorted(begins, at)]
 
 
 _encoders: dict[str, TokenEncoder] = {}

@@ -44,7 +44,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, _R, np.uint64), np.full(size, _R_INV, np.uint64)
         up[0] = down[0] = 1
         table = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size > CHUNK_BYTES:
+        if size > 8 * CHUNK_BYTES:
             return table  # an overlong text: not kept
         _POWERS[size] = table
     return _POWERS[size]
