@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.decontamination import benchmark_leaks
 from quarry.llm.embedding_dedup import near_duplicate_vectors
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.packing import cut_pieces, place, plan_places
+from quarry.llm.quality import THRESHOLD as QUALITY_THRESHOLD
+from quarry.llm.quality import fit_quality, with_quality
 from quarry.llm.simple8b import token_file
 from quarry.llm.store import Store
 from quarry.llm.token_counts import context_totals, length_histogram
@@ -23,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """Whether the crc32 of the id as text falls into the held-out fold; a null id does not."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder, F.lit(False)).alias("held_out")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -31,8 +38,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
     scored = with_toxicity(docs, model, score_col="score")
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +56,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_histogram(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = with_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")), score_col="score")
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_id_output": op5_token_id_output,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
