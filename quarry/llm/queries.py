@@ -13,6 +13,7 @@ from quarry.llm.minhash import near_duplicates
 from quarry.llm.packing import cut_pieces, place, plan_places
 from quarry.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from quarry.llm.quality import fit_quality, with_quality
+from quarry.llm.secrets import labelled_findings, secret_findings, train_forest
 from quarry.llm.simple8b import token_file
 from quarry.llm.store import Store
 from quarry.llm.token_counts import context_totals, length_histogram
@@ -30,6 +31,10 @@ def _held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder, F.lit(False)).alias("held_out")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(_table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_id_output": op5_token_id_output,
