@@ -1,26 +1,73 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by its caller."""
+"""The corpus pipeline: five stages over ``documents``.
+
+Each stage takes all that its predecessor kept, is written as Parquet and read again.  All stages but
+the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm.decontamination import without_leaks
 from quarry.llm.minhash import near_duplicates
+from quarry.llm.packing import pack
+from quarry.llm.secrets import labelled_findings, train_forest, without_secrets
+from quarry.llm.store import Store
+from quarry.llm.tokens import tokenizer_path
+from quarry.llm.toxicity import THRESHOLD, fit_toxicity, with_toxicity
+
+TOKENIZER, END_ID = "byte_bpe_50k.json", 0
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = with_toxicity(docs, model, score_col="_toxicity")
+    return scored.where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of the smallest id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each near-duplicate group stays, that of the smallest id.
+
+    Documents without an id stay; rows that share an id are one document and stay or go together."""
+    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked."""
+    return without_secrets(docs, train_forest(labelled_findings(spark)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, packed: one row per piece with its ids, sequence and offset."""
+    return pack(docs, tokenizer_path(TOKENIZER), END_ID).withColumn("ids_crc32", F.crc32("ids"))
+
 
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", near_dedup)]
+#: No stage of models, sketches or tokenizers has an equal in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder before the next one reads it."""
+    store = Store(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = store.put(stage(spark, docs, sf_dir), name)
     return docs
