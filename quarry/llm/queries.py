@@ -16,6 +16,7 @@ from quarry.llm.quality import fit_quality, with_quality
 from quarry.llm.secrets import labelled_findings, secret_findings, train_forest
 from quarry.llm.simple8b import token_file
 from quarry.llm.store import Store
+from quarry.llm.suffix_dedup import duplicate_bytes
 from quarry.llm.token_counts import context_totals, length_histogram
 from quarry.llm.tokens import tokenizer_path
 from quarry.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
@@ -35,6 +36,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_findings(_table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = duplicate_bytes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +83,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_id_output": op5_token_id_output,
