@@ -1,0 +1,67 @@
+"""Workspace paths: prefix scopes, canonical forms, projects, link targets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+HOME = "[HOME]"
+
+
+def in_scope(path: Column, root: Column | str) -> Column:
+    """Equal to the root or below it, literally; a null path is in no scope."""
+    root = F.rtrim(F.lit(root) if isinstance(root, str) else root, F.lit("/"))
+    return F.coalesce((path == root) | F.startswith(path, F.concat(root, F.lit("/"))), F.lit(False))
+
+
+def scope_range(path: Column, root: str) -> Column:
+    """The same scope as a range over sorted paths, which prunes files by their statistics."""
+    root = root.rstrip("/")
+    return (path == root) | ((path >= f"{root}/") & (path < f"{root}0"))
+
+
+def canonical(path: Column, home: str) -> Column:
+    """Paths below the home folder start with ``[HOME]``."""
+    home = home.rstrip("/")
+    inside = F.concat(F.lit(HOME), F.substr(path, F.lit(len(home) + 1)))
+    return F.when(path == home, HOME).when(F.startswith(path, F.lit(home + "/")), inside).otherwise(path)
+
+
+#: Roots of temporary workspaces and the folder of worktrees.
+TEMPORARY_ROOTS = ("/tmp", "/private/tmp", "/var/folders", "/private/var/folders")
+WORKTREES = ".worktrees"
+
+
+def project(path: Column) -> Column:
+    """The project of a workspace: its last folder, or the one above its worktrees; null for temporary,
+    hidden and top-level folders."""
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    tree = F.array_position(parts, F.lit(WORKTREES))
+    last = F.element_at(parts, -1)
+    hidden = F.startswith(last, F.lit("_")) | F.exists(parts, lambda p: F.startswith(p, F.lit(".")))
+    temporary = F.lit(False)
+    for root in TEMPORARY_ROOTS:
+        temporary = temporary | F.startswith(path, F.lit(root))
+    return F.when((path == "") | temporary, None).when(tree > 1, F.get(parts, (tree - 2).cast("int"))).when((tree > 0) | (F.size(parts) < 1) | hidden, None).otherwise(last)
+
+
+def normal_path(path: Column) -> Column:
+    """A relative path without ``.`` and ``..``; null if it leaves the tree."""
+    def step(stack: Column, part: Column) -> Column:
+        up = F.when((F.size(stack) == 0) | (F.element_at(stack, -1) == "!"), F.array(F.lit("!"))).otherwise(F.slice(stack, 1, F.size(stack) - 1))
+        return F.when(part.isin("", "."), stack).when(part == "..", up).otherwise(F.concat(stack, F.array(part)))
+
+    joined = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(F.contains(joined, F.lit("!")) | (joined == ""), None).otherwise(joined)
+
+
+LINK = r"\[\[([^\]\n]+)\]\](?!\()|(?<!!)\[[^\]\n]*\]\(<?([^\s)>]+)>?(?:\s+[^)]*)?\)"
+
+
+def link_targets(text: Column, most: int = 50) -> Column:
+    """Targets of a note's wiki and markdown links in order, decoded, without alias and anchor; images
+    are no links, and targets that are not plain relative paths are left out."""
+    raw = F.zip_with(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), F.regexp_extract_all(text, F.lit(LINK), F.lit(2)), lambda w, m: F.when(F.length(w) > 0, w).otherwise(m))
+    bare = F.transform(F.slice(raw, 1, most), lambda t: F.try_url_decode(F.regexp_replace(F.regexp_replace(t, r"[|#][\s\S]*$", ""), r"\+", "%2B")))
+    plain = F.filter(bare, lambda t: t.isNotNull() & (t != "") & ~t.rlike(r"[:\\]|^/"))
+    return F.transform(plain, lambda t: F.when(t.rlike(r"[^/.][^/]*\.[^/.]+$"), t).otherwise(F.concat(t, F.lit(".md"))))
