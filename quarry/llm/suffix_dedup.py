@@ -1,19 +1,20 @@
 """Suffix-array dedup: bytes of 50-byte strings that also start in a document of a smaller id.
 
 Texts are dealt into shards.  A window of ``WIDTH`` bytes belongs to the content shard of its least
-``GRAM``-byte hash, so equal windows meet in one place while a shard of texts sends only strings whose
-hash occurs in several documents:
-
-1. every shard of texts sends the distinct least hashes of its windows (four bytes each, about one per
-   sixteen bytes of text); their sorted runs are merged, and each shard hears which of its hashes occur
-   in two documents or more;
-2. it sends the distinct strings around those hashes, each once with its least document id; a content
-   shard builds suffix arrays over them, takes Kasai's common prefixes and, if it is larger than
-   ``ARRAY_BYTES``, merges its arrays by binary search; it answers which windows have a smaller owner;
-3. shards of texts turn the answers into spans.  A string that a shard holds in several documents is
+``GRAM``-byte hash, so equal windows meet in one place, and neighbouring windows of one least hash make
+one string of at most ``WIDTH + STRIDE - 1`` bytes.  A shard sends less the more it sends it about:
+
+1. the distinct least hashes of its windows, four bytes each; their sorted runs are merged and each
+   shard hears which of its hashes occur in two documents or more;
+2. hashes and least documents of the distinct strings around those; equal strings are settled by them,
+   and only the least holder of a string is asked for its bytes, if other strings share its least hash;
+3. those bytes, once in all; a content shard builds suffix arrays over them, takes Kasai's common
+   prefixes, merges its arrays by binary search if it is larger than ``ARRAY_BYTES``, and answers which
+   windows start in a document of a smaller id;
+4. shards of texts turn the answers into spans.  A string that a shard holds in several documents is
    kept by the smallest alone, so a passage of any number of documents is sent once per shard.
 
-The texts are shuffled once and read by all three steps.
+The texts are shuffled once and read by all four steps.
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ def runs_of_windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
         start = base + nth * STRIDE
         piece = np.searchsorted(at, start, "right") - 1
         own = mix((sums[start + count + WIDTH - 1] - sums[start]) * down[start] + count.astype(np.uint64))
-        out.append((row[piece], start - at[piece] + begin[piece], count, least[start], own))
+        # minima crowd near zero: mixed once more, they fall evenly into buckets
+        out.append((row[piece], start - at[piece] + begin[piece], count, mix(least[start] ^ np.uint64(0x5B)), own))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -149,6 +151,12 @@ def _blobs(values: list[np.ndarray]) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The values of a column of blobs, one after the other."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name).combine_chunks()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """Bytes of each text that a 50-byte string covers which also starts in a document of a smaller id.
 
@@ -197,10 +205,9 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         some = [i for i, a in enumerate(answers) if len(a)]
         return pa.table({"shard": table.column("shard").combine_chunks().take(pa.array(some, pa.int64())), "bucket": table.column("bucket").combine_chunks().take(pa.array(some, pa.int64())), "hashes": _blobs([answers[i] for i in some])})
 
-    def send_strings(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        empty = {"bucket": pa.int32(), "shard": pa.int32(), "sizes": pa.binary(), "bytes": pa.binary(), "least": pa.binary(), "own": pa.binary(), "doc": pa.binary()}
+    def send_names(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows or not answers.num_rows:
-            return pa.table({k: pa.array([], v) for k, v in empty.items()})
+            return pa.table({"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in ("least", "own", "doc")}})
         shard = _Shard(texts)
         asked = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("hashes").combine_chunks(), strict=True)]))
         first, smallest, _ = shard.distinct()
@@ -209,6 +216,46 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first, smallest, key = first[hit], smallest[hit], key[hit]
         order = np.argsort(key, kind="stable")
         first, smallest, key = first[order], smallest[order], key[order]
+        parts = _split(key >> np.uint64(32))
+        cut = lambda x: _blobs([x[a:b] for _, a, b in parts])
+        return pa.table(
+            {
+                "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
+                "shard": pa.array(np.full(len(parts), texts.column("shard")[0].as_py(), np.int32)),
+                "least": cut(key.astype(np.uint32)),
+                "own": cut(shard.own[first]),
+                "doc": cut(smallest),
+            }
+        )
+
+    def settle_names(table: pa.Table) -> pa.Table:
+        """Per sending shard: its strings that a smaller document holds whole, and those whose bytes
+        are wanted of it."""
+        least, own, doc = (_joined(table, c, k) for c, k in (("least", np.uint32), ("own", np.uint64), ("doc", np.int64)))
+        rows = np.array([len(x.as_buffer()) // 8 for x in table.column("own").combine_chunks()])
+        unique, first, inverse = np.unique(own, return_index=True, return_inverse=True)
+        smallest = np.full(len(unique), _MOST)
+        np.minimum.at(smallest, inverse, doc)
+        held = doc > smallest[inverse]
+        _, which, strings = np.unique(least[first], return_inverse=True, return_counts=True)
+        holder = np.full(len(unique), len(own))
+        np.minimum.at(holder, inverse[~held], np.flatnonzero(~held))
+        wanted = np.zeros(len(own), bool)
+        wanted[holder[strings[which] > 1]] = True
+        bounds = np.concatenate([[0], np.cumsum(rows)])
+        return pa.table({"shard": table.column("shard"), "held": _blobs([own[a:b][held[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), "wanted": _blobs([own[a:b][wanted[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])})
+
+    def send_strings(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        asked = np.sort(_joined(answers, "wanted", np.uint64)) if answers.num_rows else np.zeros(0, np.uint64)
+        if not texts.num_rows or not len(asked):
+            return pa.table({"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in ("sizes", "bytes", "least", "own", "doc")}})
+        shard = _Shard(texts)
+        first, smallest, _ = shard.distinct()
+        hit = asked[np.minimum(np.searchsorted(asked, shard.own[first]), len(asked) - 1)] == shard.own[first]
+        first, smallest = first[hit], smallest[hit]
+        key = _key(shard.least[first], buckets)
+        order = np.argsort(key, kind="stable")
+        first, smallest, key = first[order], smallest[order], key[order]
         sizes = (shard.count[first] + WIDTH - 1).astype(np.uint8)
         ends = np.cumsum(sizes, dtype=np.int64)
         flat = shard.buf[np.repeat(shard.start[first] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -229,11 +276,8 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def compare_strings(table: pa.Table) -> pa.Table:
         """Which windows of each sent string start in a document of a smaller id than the sender's."""
-
-        def joined(name: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name).combine_chunks()])
-
-        sizes, flat, own, doc, least = joined("sizes", np.uint8).astype(np.int64), joined("bytes", np.uint8), joined("own", np.uint64), joined("doc", np.int64), joined("least", np.uint32)
+        sizes, flat, own, doc, least = (_joined(table, c, k) for c, k in (("sizes", np.uint8), ("bytes", np.uint8), ("own", np.uint64), ("doc", np.int64), ("least", np.uint32)))
+        sizes = sizes.astype(np.int64)
         rows = np.array([len(x.as_buffer()) for x in table.column("sizes").combine_chunks()])
         begin = np.cumsum(sizes) - sizes
         unique, first, inverse = np.unique(own, return_index=True, return_inverse=True)
@@ -285,8 +329,14 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             np.add.at(cover, shard.start[whole], 1)
             np.subtract.at(cover, shard.start[whole] + shard.count[whole] + WIDTH - 1, 1)
             if answers.num_rows:
-                own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers.column("own").combine_chunks()])
-                masks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in answers.column("masks").combine_chunks()])
+                held = np.sort(_joined(answers, "held", np.uint64))
+                if len(held):
+                    known = np.flatnonzero(~whole)
+                    known = known[held[np.minimum(np.searchsorted(held, shard.own[known]), len(held) - 1)] == shard.own[known]]
+                    np.add.at(cover, shard.start[known], 1)
+                    np.subtract.at(cover, shard.start[known] + shard.count[known] + WIDTH - 1, 1)
+                own, masks = _joined(answers, "own", np.uint64), _joined(answers, "masks", np.uint32)
+            if answers.num_rows and len(own):
                 order = np.argsort(own)
                 own, masks = own[order], masks[order]
                 rest = np.flatnonzero(~whole)
@@ -322,8 +372,12 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     hashes = dealt.groupBy("shard").applyInArrow(send_hashes, "bucket int, shard int, hashes binary, several binary")
     shared = hashes.groupBy("bucket").applyInArrow(find_shared, "shard int, bucket int, hashes binary")
-    strings = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(send_strings, "bucket int, shard int, sizes binary, bytes binary, least binary, own binary, doc binary")
+    names = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(send_names, "bucket int, shard int, least binary, own binary, doc binary")
+    settled = names.groupBy("bucket").applyInArrow(settle_names, "shard int, held binary, wanted binary")
+    strings = dealt.groupBy("shard").cogroup(settled.select("shard", "wanted").groupBy("shard")).applyInArrow(send_strings, "bucket int, shard int, sizes binary, bytes binary, least binary, own binary, doc binary")
     older = strings.groupBy("bucket").applyInArrow(compare_strings, "shard int, own binary, masks binary")
-    found = dealt.groupBy("shard").cogroup(older.groupBy("shard")).applyInArrow(cut_spans, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    nothing = F.lit(b"")
+    answers = settled.select("shard", "held", nothing.alias("own"), nothing.alias("masks")).unionByName(older.select("shard", nothing.alias("held"), "own", "masks"))
+    found = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(cut_spans, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct(s["starts"].alias("start"), s["ends"].alias("end")))
     return found.select(F.col("doc_id").alias(id_col), "n_bytes", spans.alias("spans"), "kept")
