@@ -37,7 +37,7 @@ def project(path: Column) -> Column:
     hidden and top-level folders."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     tree = F.array_position(parts, F.lit(WORKTREES))
-    last = F.element_at(parts, -1)
+    last = F.try_element_at(parts, F.lit(-1))
     hidden = F.startswith(last, F.lit("_")) | F.exists(parts, lambda p: F.startswith(p, F.lit(".")))
     temporary = F.lit(False)
     for root in TEMPORARY_ROOTS:
@@ -48,7 +48,7 @@ def project(path: Column) -> Column:
 def normal_path(path: Column) -> Column:
     """A relative path without ``.`` and ``..``; null if it leaves the tree."""
     def step(stack: Column, part: Column) -> Column:
-        up = F.when((F.size(stack) == 0) | (F.element_at(stack, -1) == "!"), F.array(F.lit("!"))).otherwise(F.slice(stack, 1, F.size(stack) - 1))
+        up = F.when((F.size(stack) == 0) | (F.try_element_at(stack, F.lit(-1)) == "!"), F.array(F.lit("!"))).otherwise(F.slice(stack, 1, F.size(stack) - 1))
         return F.when(part.isin("", "."), stack).when(part == "..", up).otherwise(F.concat(stack, F.array(part)))
 
     joined = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")

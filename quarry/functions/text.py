@@ -92,7 +92,7 @@ def excerpt_start(text: Column, query: Column, budget: int) -> Column:
     its first word that occurs, clamped to the text; 0 for short texts."""
     low, terms = F.lower(fold(text)), F.concat(F.array(F.trim(query)), F.split(F.trim(query), r"\s+"))
     spots = F.transform(terms, lambda t: F.struct(F.instr(low, F.lower(fold(t))).alias("at"), F.length(t).alias("n")))
-    hit = F.element_at(F.filter(spots, lambda s: (s["at"] > 0) & (s["n"] > 0)), 1)
+    hit = F.get(F.filter(spots, lambda s: (s["at"] > 0) & (s["n"] > 0)), F.lit(0))
     around = F.greatest(F.lit(0), hit["at"] - 1 - F.greatest(F.lit(0), F.floor((F.lit(budget) - hit["n"]) / 2)))
     start = F.least(F.coalesce(around, F.lit(0)), F.length(text) - budget)
     return F.when(F.length(text) <= budget, F.lit(0)).otherwise(start).cast("int")
