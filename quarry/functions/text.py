@@ -69,9 +69,11 @@ SYMBOL_WORDS = (
 
 def claim_key(text: Column) -> Column:
     """The form in which two phrasings of one claim are equal; numbers, signs and comparisons stay."""
+    worded = text
     for pattern, word in SYMBOL_WORDS:
-        text = F.regexp_replace(text, pattern, word)
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(F.lower(text)), r"[`*_\[\]()]+", " "), "[^0-9a-z]+", " "))
+        worded = F.regexp_replace(worded, pattern, word)
+    text = F.when(text.rlike("[<>=≠%]|[0-9]"), worded).otherwise(text)  # most texts have none
+    return F.trim(F.regexp_replace(fold(F.lower(text)), "[^0-9a-z]+", " "))
 
 
 #: Quantities and negations of a claim.

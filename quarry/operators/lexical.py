@@ -48,8 +48,9 @@ def token_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, terms: list[list[str]]) -> DataFrame:
     """id, ``dl`` and ``tf`` (occurrences of each term, phrases of adjacent words) of every document."""
-    toks = F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))
-    rows = docs.select(F.col(id_col), toks.alias("toks")).select(id_col, F.size("toks").alias("dl"), F.array_join("toks", " ").alias("flat"))
+    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    size = F.when(F.col("flat") == "", 0).otherwise(F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit(""))) + 1)
+    rows = docs.select(F.col(id_col), flat.alias("flat")).select(id_col, size.alias("dl"), "flat")
     starts = [F.regexp_count("flat", F.lit(f"(?:^| )(?={' '.join(map(re.escape, t))}(?: |$))")) for t in terms]
     return rows.select(id_col, "dl", F.array(*starts).alias("tf"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.times import age_class
@@ -11,7 +11,11 @@ from quarry.plans.registry import query
 from quarry.sources.tables import table
 
 K_SQL = "(props->>'$.k')::bigint"
-K = F.get_json_object("props", "$.k").cast("long")
+
+
+def _k() -> Column:
+    """The number in an event's properties."""
+    return F.get_json_object("props", "$.k").cast("long")
 
 
 @query(
@@ -20,7 +24,7 @@ K = F.get_json_object("props", "$.k").cast("long")
     FROM (SELECT unnest(generate_series((SELECT min(day) FROM d)::timestamp, (SELECT max(day) FROM d)::timestamp, INTERVAL 1 day)) AS day) r LEFT JOIN d ON d.day = r.day::date"""
 )
 def daily_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_type = 'purchase' AND user_id % 9 = 0").withColumn("k", K)
+    rows = table(spark, sf_dir, "events").where("event_type = 'purchase' AND user_id % 9 = 0").withColumn("k", _k())
     return reports.daily_totals(rows, "ts", {"tokens": F.sum("k"), "amount": F.round(F.sum("value"), 2)})
 
 
@@ -34,7 +38,7 @@ GAP_SQL = f"SELECT event_id, ts, user_id AS workspace, 'q ' || ({K_SQL} % 40) AS
 )
 def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where("event_type IN ('view', 'error', 'click')")
-    question = F.concat(F.lit(" Q  "), (K % 40).cast("string"), F.lit(" "))
+    question = F.concat(F.lit(" Q  "), (_k() % 40).cast("string"), F.lit(" "))
     events = rows.select(
         question.alias("question"), F.col("ts").alias("asked_at"), F.col("event_id").alias("order"), F.col("user_id").alias("workspace"), F.when(F.col("event_type") == "view", F.col("value") - 40).alias("best_score"), (F.col("event_type") != "error").alias("has_evidence")
     )
@@ -43,7 +47,7 @@ def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {K_SQL} AS record, count(*) AS times FROM events WHERE event_type IN ('view', 'click') GROUP BY 1 ORDER BY times DESC, record LIMIT 25")
 def served_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.served(table(spark, sf_dir, "events").where("event_type IN ('view', 'click')").select(K.alias("record")), "record")
+    return reports.served(table(spark, sf_dir, "events").where("event_type IN ('view', 'click')").select(_k().alias("record")), "record")
 
 
 @query(
@@ -81,7 +85,7 @@ p AS (SELECT user_id, ts AS started, event_id, CASE WHEN next_kind = 'done' THEN
 
 def _passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("event_type IN ('signup', 'purchase')")
-    code = F.element_at(F.array(*(F.lit(c) for c in (0, 124, 137, 1))), (K % 4).cast("int") + 1)
+    code = F.element_at(F.array(*(F.lit(c) for c in (0, 124, 137, 1))), (_k() % 4).cast("int") + 1)
     log = events.select("user_id", "ts", "event_id", F.when(F.col("event_type") == "signup", "start").otherwise("done").alias("kind"), code.alias("code"))
     return reports.passes(log, "user_id", "ts", "event_id", "kind", "code")
 
@@ -129,7 +133,7 @@ def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT k AS record, max((stamp, event_id))[2] AS superseded_by, max((stamp, event_id))[1] AS \"at\" FROM (SELECT {K_SQL} AS k, event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS stamp FROM events WHERE event_type = 'click') GROUP BY k")
 def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = table(spark, sf_dir, "events").where("event_type = 'click'").select(K.alias("record"), "event_id", F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("at"))
+    clicks = table(spark, sf_dir, "events").where("event_type = 'click'").select(_k().alias("record"), "event_id", F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("at"))
     return lifecycle.supersessions(clicks, "record", "event_id", "at")
 
 
@@ -138,7 +142,7 @@ LEDGER_SQL = f"SELECT {K_SQL} AS doc_id, CASE WHEN event_type = 'click' THEN 'fo
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
-    return rows.select(K.alias("doc_id"), F.when(F.col("event_type") == "click", "forget").otherwise("restore").alias("event"), "ts", "event_id")
+    return rows.select(_k().alias("doc_id"), F.when(F.col("event_type") == "click", "forget").otherwise("restore").alias("event"), "ts", "event_id")
 
 
 @query(f"WITH l AS ({LEDGER_SQL}) SELECT doc_id FROM documents WHERE contains(text, 'idiot') AND doc_id NOT IN (SELECT doc_id FROM l)")

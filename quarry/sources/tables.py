@@ -8,8 +8,21 @@ from pyspark.sql import functions as F
 from quarry.functions.identity import record_id
 
 
+SMALL = 64 << 20
+#: Tables of long texts, whose operators spend their time in the scan's own stage.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than cores, dealt over all cores; anything larger as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if len(df.inputFiles()) < cores and size < SMALL * cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    found = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 def conversation_records(conversations: DataFrame) -> DataFrame:
