@@ -21,10 +21,12 @@ from quarry.llm.token_counts import context_totals, length_histogram
 from quarry.llm.tokens import tokenizer_path
 from quarry.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
 from quarry.llm.toxicity import fit_toxicity, with_toxicity
+from quarry.sources.tables import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name == "documents" else found
 
 
 def _held_out(modulus: int, remainder: int) -> Column:
