@@ -132,7 +132,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     joined = text.join(F.broadcast(sample), "lid").select("label", "text")  # at most max_train rows of two numbers
     table = joined.mapInArrow(measure, "label int, " + ", ".join(f"{n} double" for n in names)).toArrow()
     x = np.stack([table.column(n).to_numpy() for n in names], 1) if len(table) else np.zeros((0, len(names)))
-    return QualityModel(x, table.column("label").to_numpy())
+    y = table.column("label").to_numpy()
+    order = np.lexsort(np.c_[x, y].T)  # pairs must not depend on the order in which rows arrive
+    return QualityModel(x[order], y[order])
 
 
 def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:

@@ -178,6 +178,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     held = joined.where(F.col("fold") == calibrating).select("label", "text").mapInArrow(measure, "label int, f0 double, f1 double, f2 double, f3 double").toArrow()
     x, y = np.stack([held.column(f"f{i}").to_numpy() for i in range(4)], 1), held.column("label").to_numpy()
+    order = np.lexsort(np.c_[x, y].T)  # sums must not depend on the order in which rows arrive
+    x, y = x[order], y[order]
     model.weights = logistic(np.r_[x, np.zeros((2, 4))] if len(x) < 2 else x, np.r_[y, 0, 1] if len(x) < 2 else y)
     return model
 
