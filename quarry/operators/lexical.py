@@ -82,7 +82,9 @@ def search_words(docs: DataFrame, id_col: str, text_col: str, query: str, limit:
 
 def search_phrase(docs: DataFrame, id_col: str, text_col: str, phrase: str) -> DataFrame:
     """Documents that hold the words of a phrase next to each other, with how often."""
-    parts = [p for term in query_terms(phrase) for p in term]
+    parts = [p.lower() for p in re.findall(r"[^\W_]+", phrase)]
+    if not parts:
+        return docs.select(F.col(id_col), F.lit(0).alias("occurrences")).limit(0)
     return term_counts(docs, id_col, text_col, [parts]).select(id_col, F.col("tf")[0].alias("occurrences")).where("occurrences > 0")
 
 

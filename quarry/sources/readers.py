@@ -58,7 +58,7 @@ def notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> Data
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     relative = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     base = "/" + root.split("://")[-1].strip("/") + "/"
-    rows = files.select(F.substring_index(relative, base, -1).alias("path"), F.sha2("content", 256).alias("sha256"), F.decode(F.col("content"), F.lit("UTF-8")).alias("text"))
+    rows = files.select(F.substring_index(relative, base, -1).alias("path"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     return rows.where(~F.exists(folders, lambda f: F.startswith(f, F.lit(".")) | f.isin("node_modules", *exclude)))
 
