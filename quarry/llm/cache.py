@@ -1,13 +1,29 @@
-"""A worker's memory of values by 64-bit hash, kept sorted so that lookups are vectorised."""
+"""What a Python worker keeps between batches: values by 64-bit hash, one operator's at a time."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 import numpy as np
 
 #: Entries after which a cache starts afresh; results never depend on what it holds.
-MOST = 1_500_000
+MOST = 800_000
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps under a name.  Keeping something new lets go of everything else, so that a
+    worker that outlives an operator does not carry its memory into the next."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+        _held[name] = make()
+    return _held[name]
 
 
 class HashCache:

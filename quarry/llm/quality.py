@@ -24,7 +24,7 @@ from quarry.llm.words import LETTERS_DIGITS, WORD_BYTES, byte_runs, row_chunks,
 MAX_TRAIN, MAX_PAIRS = 200_000, 400_000
 THRESHOLD = 0.3
 FEATURES = ("upper", "log_upper", "symbols", "log_symbols", "digits", "word_bytes", "log_words", "distinct", "repeats", "line_repeats", "marked_words", "short")
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 _LINE = np.ones(256, bool)
 _LINE[10] = False
 _UPPER = np.zeros(256, bool)

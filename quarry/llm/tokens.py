@@ -17,10 +17,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from quarry.llm.cache import held
 from quarry.llm.words import row_chunks, span_hashes, text_buffer
 
 _CHUNK = 2 << 20
-_MOST_KEYS, _MOST_IDS = 1_500_000, 12_000_000
+_MOST_KEYS, _MOST_IDS = 1_200_000, 8_000_000
 #: What a byte is: white space, lone-cut white space, visible ASCII, ASCII letter, ASCII punctuation,
 #: first byte of a two-byte character from U+00C0 on (never white space), later byte of a character.
 _WHITE, _BREAK, _VISIBLE, _LETTER, _PUNCT, _TWO, _LATER = (1 << i for i in range(7))
@@ -132,15 +133,9 @@ class TokenEncoder:
             yield a, b, ids, np.concatenate([[0], ends_at])[np.searchsorted(begins, at)]
 
 
-_encoders: dict[str, TokenEncoder] = {}
-
-
 def encoder(path: str) -> TokenEncoder:
     """The worker's encoder of a tokenizer file."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = TokenEncoder(path)
-    return _encoders[path]
+    return held(path, lambda: TokenEncoder(path))
 
 
 def with_end(ids: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.llm.cache import HashCache
+from quarry.llm.cache import HashCache, held
 from quarry.llm.kneser_ney import ClassModels, spelt
 from quarry.llm.store import Store
 from quarry.llm.words import LETTERS, byte_runs, row_chunks, text_buffer
@@ -29,8 +29,7 @@ MAX_NGRAMS = 1 << 21
 THRESHOLD = 0.3
 EXPRESSION = 4
 _MARGIN = 3.0
-_CHUNK = 2 << 20
-_caches: dict[str, HashCache] = {}
+_CHUNK = 1 << 20
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, modulus: int, held_out: int, most: int) -> DataFrame:
@@ -46,7 +45,7 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, modulus: int
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-gram counts by class of a partition's documents (columns: label, text)."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+    counts_of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
@@ -65,10 +64,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     _, first, times = np.unique(hashes[own], return_index=True, return_counts=True)
                     keys, koff = spelt(part, starts[own[first]], ends[own[first]])
                     grams, inverse = np.unique(keys, return_inverse=True)
-                    held[k].append((grams, np.bincount(inverse, np.repeat(times, np.diff(koff))).astype(np.int64)))
-                    if len(held[k]) > 16:
-                        held[k] = [merged(held[k])]
-    for k, parts in held.items():
+                    counts_of[k].append((grams, np.bincount(inverse, np.repeat(times, np.diff(koff))).astype(np.int64)))
+                    if len(counts_of[k]) > 16:
+                        counts_of[k] = [merged(counts_of[k])]
+    for k, parts in counts_of.items():
         if parts:
             keys, counts = merged(parts)
             yield pa.record_batch([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], ["label", "gram", "n"])
@@ -128,10 +127,7 @@ class ToxicityModel:
         self.weights, self.name = weights, name
 
     def features(self, column: pa.Array) -> np.ndarray:
-        if self.name not in _caches:
-            _caches.clear()
-            _caches[self.name] = HashCache(np.float64)
-        return features(self.models.value, column, _caches[self.name])
+        return features(self.models.value, column, held(self.name, lambda: HashCache(np.float64)))
 
     def score(self, column: pa.Array) -> np.ndarray:
         w, mean, scale = self.weights
@@ -176,8 +172,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             found = model.features(batch.column(1))
             yield pa.record_batch([batch.column(0), *(pa.array(found[:, i]) for i in range(4))], ["label", "f0", "f1", "f2", "f3"])
 
-    held = joined.where(F.col("fold") == calibrating).select("label", "text").mapInArrow(measure, "label int, f0 double, f1 double, f2 double, f3 double").toArrow()
-    x, y = np.stack([held.column(f"f{i}").to_numpy() for i in range(4)], 1), held.column("label").to_numpy()
+    seen = joined.where(F.col("fold") == calibrating).select("label", "text").mapInArrow(measure, "label int, f0 double, f1 double, f2 double, f3 double").toArrow()
+    x, y = np.stack([seen.column(f"f{i}").to_numpy() for i in range(4)], 1), seen.column("label").to_numpy()
     order = np.lexsort(np.c_[x, y].T)  # sums must not depend on the order in which rows arrive
     x, y = x[order], y[order]
     model.weights = logistic(np.r_[x, np.zeros((2, 4))] if len(x) < 2 else x, np.r_[y, 0, 1] if len(x) < 2 else y)
