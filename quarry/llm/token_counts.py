@@ -47,11 +47,17 @@ def context_totals(histogram: DataFrame, store: Store | None = None) -> DataFram
     h = store.put(histogram.withColumn("stride", F.floor(F.col("n_tokens") / STRIDE)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs")), "histogram")
     strides = h.groupBy("stride").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = W.orderBy(F.desc("stride")).rowsBetween(W.unboundedPreceding, -1)
-    above = strides.select("stride", F.coalesce(F.sum("d").over(after), F.lit(0)).alias("above_docs"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("above_tokens"))
-    totals = h.agg(F.sum("n_docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
+    whole = W.orderBy(F.desc("stride")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # a row per stride
+    above = strides.select(
+        "stride",
+        F.coalesce(F.sum("d").over(after), F.lit(0)).alias("above_docs"),
+        F.coalesce(F.sum("t").over(after), F.lit(0)).alias("above_tokens"),
+        F.sum("d").over(whole).alias("all_docs"),
+        F.sum("t").over(whole).alias("all_tokens"),
+    )
     within = W.partitionBy("stride").orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = h.join(above, "stride").withColumns({"docs_from": F.sum("n_docs").over(within) + F.col("above_docs"), "tokens_from": F.sum("tokens").over(within) + F.col("above_tokens")})
-    return rows.crossJoin(F.broadcast(totals)).select(  # one row
+    return rows.select(
         "n_tokens",
         "n_docs",
         "docs_from",
