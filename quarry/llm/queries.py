@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm.decontamination import benchmark_leaks
 from quarry.llm.embedding_dedup import near_duplicate_vectors
 from quarry.llm.minhash import near_duplicates
+from quarry.llm.oracles import ORACLE_SQL
 from quarry.llm.packing import cut_pieces, place, plan_places
 from quarry.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from quarry.llm.quality import fit_quality, with_quality
@@ -96,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
