@@ -17,7 +17,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table of fewer files than cores, dealt over all cores; anything larger as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if len(df.inputFiles()) < cores and size < SMALL * cores else df
+    return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
