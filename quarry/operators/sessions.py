@@ -1,0 +1,57 @@
+"""Sessions of work: transcripts, their boundaries and the limits after which they are recorded."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Limits of an unrecorded session, tools that change files, and commits.
+MIN_PROMPTS, MIN_BYTES, MAX_SECONDS = 10, 4 * 1024, 7_200
+WORK_TOOLS = ("Edit", "MultiEdit", "NotebookEdit", "Write")
+COMMIT = r"\bgit\s+(?:-C\s+\S+\s+)?commit\b"
+
+
+def is_prompt(kind: Column, parts: Column) -> Column:
+    """Whether a transcript line is a user's prompt: text and no tool result."""
+    has = lambda t: F.exists(parts, lambda p: p["type"] == t)
+    return F.coalesce((kind == "user") & has("text") & ~has("tool_result"), F.lit(False))
+
+
+def work_uses(parts: Column) -> Column:
+    """How many parts of a line change files or commit."""
+    return F.size(F.filter(F.coalesce(parts, F.array().cast("array<struct<type:string,name:string,command:string>>")), lambda p: (p["type"] == "tool_use") & (p["name"].isin(*WORK_TOOLS) | ((p["name"] == "Bash") & F.coalesce(p["command"].rlike(COMMIT), F.lit(False))))))
+
+
+def scanned(lines: DataFrame) -> DataFrame:
+    """Per session: prompts, bytes, edits, last line and model.  Columns: session, offset, kind, model,
+    size, parts (array of type, name, command)."""
+    last_model = F.max(F.when(F.col("model").isNotNull(), F.struct("offset", "model")))
+    return lines.groupBy("session").agg(
+        F.count_if(is_prompt(F.col("kind"), F.col("parts"))).alias("prompts"), F.sum("size").alias("bytes"), F.sum(work_uses(F.col("parts"))).cast("long").alias("edits"), F.max("offset").alias("boundary"), last_model["model"].alias("model")
+    )
+
+
+def over_limits(prompts: Column, size: Column, baseline: Column, now: Column) -> Column:
+    """Whether a session must be recorded: many prompts, or some bytes for long enough."""
+    aged = (size >= MIN_BYTES) & (F.unix_timestamp(now) - F.unix_timestamp(baseline) >= MAX_SECONDS)
+    return F.coalesce((prompts > 0) & ((prompts >= MIN_PROMPTS) | F.coalesce(aged, F.lit(False))), F.lit(False))
+
+
+def machine_job_episodes(events: DataFrame, jobs: tuple[str, ...], prompts: tuple[str, ...]) -> DataFrame:
+    """Episodes whose user openings are all machine prompts and one at least a job's.  Columns:
+    episode, role, text."""
+    opening = F.trim(F.regexp_replace(F.substring("text", 1, 240), r"\s+", " "))
+
+    def opens(known: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for k in known:
+            out = out | F.startswith(opening, F.lit(k))
+        return out
+
+    users = events.where("role = 'user'")
+    return users.groupBy("episode").agg(F.bool_or(opens(jobs)).alias("j"), F.bool_and(opens(jobs + prompts)).alias("m")).where("j AND m").select("episode")
+
+
+def covered(conversations: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """Conversations without a session record of their own."""
+    return conversations.join(records.select(key), key, "left_anti")
