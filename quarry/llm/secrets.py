@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame and SQL only.
 
-A candidate is a run of at least twelve base64-like characters with a digit.  The forest sees its
-length, character transitions, dictionary coverage, whether it stands in a path, and the words and
+A candidate is a password in an address, a token of a known vendor's shape, any eight or more characters
+without white space after the name of a secret, or a run of at least twelve base64-like characters with
+a digit.  The forest sees its length, character transitions, dictionary coverage, whether it stands in a path, and the words and
 signs beside it.  It is trained by MLlib on labelled findings and then written out as one SQL
 expression, so that scoring is part of the scan's own projection: no shuffle, no join, no Python.
 """
@@ -14,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
 #: Characters beside a candidate that its features look at.
 BEFORE, AFTER = 64, 16
 TREES, DEPTH = 24, 6
@@ -23,7 +23,28 @@ MASK = "[SECRET]"
 
 _NAMES = "token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|credential|bearer"
 _BENIGN = "commit|revision|rev|sha[0-9]*|md5|checksum|digest|hash|etag|uuid|guid|card|phone|call|order|invoice|account|isbn|build|version"
-_VENDOR = "^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}|^(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|^xox[abprs]-|^AIza|^eyJ"
+#: Vendors' tokens, whether or not they hold a digit.
+_SHAPES = (
+    "(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{20,}+"
+    "|eyJ[A-Za-z0-9_-]{8,}+[.][A-Za-z0-9_-]++(?:[.][A-Za-z0-9_-]++)?+|hf_[A-Za-z0-9]{20,}+|npm_[A-Za-z0-9]{20,}+|glpat-[A-Za-z0-9_-]{16,}+|SG[.][A-Za-z0-9=_-]{16,}+[.][A-Za-z0-9=_-]{16,}+|pplx-[A-Za-z0-9]{20,}+"
+    "|AGE-SECRET-KEY-1[A-Z0-9]{20,}+|sgp_[A-Za-z0-9_]{20,}+|sl[.][A-Za-z0-9=_-]{40,}+|do[opr]_v1_[a-f0-9]{20,}+|shp(?:at|ca|pa|ss)_[A-Za-z0-9]{20,}+|lin_api_[A-Za-z0-9]{20,}+|pypi-[A-Za-z0-9_-]{20,}+|PMAK-[a-f0-9-]{20,}+|[0-9]{5,16}:AA[A-Za-z0-9_-]{33}"
+)
+_VENDOR = f"^(?:{_SHAPES})|^eyJ"
+#: What leads to a value: the user in an address, the names of a secret with their sign.
+_USER = r"://[^\s:/@]*+:"
+_NAMED = rf"(?:(?=[tspacbTSPACB])(?i:(?:{_NAMES})[a-z0-9_.-]*+[\x22\x27]?+(?:\s*+[:=]++>?+\s*+|\s++is\s++)[\x22\x27\x60]?+(?:bearer\s++)?+|bearer\s++))++"
+_LEAD = rf"^(?:{_USER}|{_NAMED})(?=\S)"
+_RUN = "[A-Za-z0-9+/_-]"
+#: A value that a quote opened ends at the same quote; any other ends before white space, closing signs left out.
+_VALUE = r"(?:(?<=\x22)[^\s\x22]{8,}+(?=\x22)|(?<=\x27)[^\s\x27]{8,}+(?=\x27)|(?<=\x60)[^\s\x60]{8,}+(?=\x60)|[^\s\x22\x27\x60<>]{7,}[^\s\x22\x27\x60<>,;:.!?)\]}]|\S{8,}+)"
+#: With its lead, if it has one.  A vendor's token inside a named value stands for itself, and a run that holds
+#: the name of a value is none.
+CANDIDATE = (
+    rf"{_USER}(?:[^\s/]+(?=@)|[^\s@]+(?=@))"
+    rf"|(?<![A-Za-z0-9])(?:{_SHAPES})={{0,2}}"
+    rf"|{_NAMED}(?!\S*?(?:(?<![A-Za-z0-9])(?:{_SHAPES})|{_USER}[^\s@]+@)){_VALUE}"
+    rf"|(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9])(?!{_RUN}*?{_NAMED}(?=\S{{8}})){_RUN}{{12,}}+={{0,2}}"
+)
 _PLACEHOLDER = "example|sample|changeme|placeholder|your|dummy|xxxx|test|12345678|redacted|default"
 _WORDS = (
     "about account action address admin after agent align alpha amount android answer apple archive article asset author backup banner batch before beta between block board book branch "
@@ -52,6 +73,8 @@ FEATURES = {
     "dictionary": f"1 - length(regexp_replace(lower(x.found), '{'|'.join(w for w in _WORDS if len(w) > 3)}', '')) / length(x.found)",
     "placeholder": f"cast(lower(x.found) rlike '{_PLACEHOLDER}' AS double)",
     "vendor": f"cast(x.found rlike '{_VENDOR}' AS double)",
+    "url_password": r"cast(x.prior rlike '://[^\\s:/@]*:$' AND x.next rlike '^@' AS double)",
+    "code": r"cast(x.found rlike '[(){}<>$\\[\\]]|^[a-z_]+[.][a-z_.]+$' AS double)",
     "path": r"cast(x.prior rlike '[/\\\\.@]$' OR x.next rlike '^[/\\\\@]|^\\.[A-Za-z]' OR x.found rlike '/[^/]*/' AS double)",
     "named": rf"cast(lower(x.prior) rlike '(?:{_NAMES})[a-z0-9_.-]*[\\x22\\x27]?\\s*(?:[:=]+>?|is)\\s*[\\x22\\x27`]?(?:bearer\\s+)?$' AS double)",
     "name_near": f"cast(lower(x.prior) rlike '{_NAMES}' AS double)",
@@ -64,11 +87,12 @@ FEATURES = {
 def _candidates(text: str) -> str:
     """SQL: the candidates of a text as structs of the text before, the match, the text after, and the
     characters from the last match's end to it."""
-    pattern = CANDIDATE.replace("\\", "\\\\")
-    return (
+    pattern, lead = CANDIDATE.replace("\\", "\\\\"), _LEAD.replace("\\", "\\\\")
+    whole = (
         f"transform(arrays_zip(split({text}, '{pattern}', -1), regexp_extract_all({text}, '{pattern}', 0), slice(split({text}, '{pattern}', -1), 2, 2147483647)),"
-        f" p -> struct(right(p['0'], {BEFORE}) AS prior, p['1'] AS found, left(p['2'], {AFTER}) AS next, p['0'] AS gap))"
+        f" p -> struct(concat(p['0'], regexp_extract(p['1'], '{lead}', 0)) AS gap, p['1'] AS found, length(regexp_extract(p['1'], '{lead}', 0)) AS led, left(p['2'], {AFTER}) AS next))"
     )
+    return f"transform({whole}, p -> struct(right(p.gap, {BEFORE}) AS prior, substr(p.found, p.led + 1) AS found, p.next AS next, p.gap AS gap))"
 
 
 def _with_features(array: str) -> str:
@@ -78,8 +102,9 @@ def _with_features(array: str) -> str:
 def labelled_findings(spark: SparkSession, n: int = 240) -> DataFrame:
     """Labelled findings made by rule: ``prior``, ``found``, ``next``, ``label``; ``n`` of each kind.
 
-    Assigned hexadecimal, base64 and mixed keys, vendor keys in prose and bearer tokens are secrets;
-    numbers, digests, identifiers, paths, placeholders and words with digits are not.
+    Assigned hexadecimal, base64 and mixed keys and passwords, vendor keys in prose, passwords in
+    addresses and bearer tokens are secrets; numbers, digests, identifiers, paths, ports, placeholders,
+    code, prose and words with digits are not.
     """
     seed = "sha2(concat(kind, ':', cast(id AS string)), 256)"
     kinds = {
@@ -92,6 +117,22 @@ def labelled_findings(spark: SparkSession, n: int = 240) -> DataFrame:
         "vendor": (1, "concat(word, ' ')", "concat('AKIA', upper(translate(left(h, 16), '0189', 'WXYZ')))", "' '"),
         "github": (1, "concat(word, ' ')", "concat('ghp_', left(translate(base64(unhex(h)), '+/=', 'abc'), 36))", "' '"),
         "service": (1, "concat(name, op, quote)", "concat('sk_live_', left(h, 24))", "quote"),
+        "held": (1, "concat(name, op, quote)", "concat(left(h, 8 + id % 5), element_at(array('12345678', 'test', 'xxxx', 'default'), cast(id % 4 AS int) + 1), substr(h, 14, 14 + id % 20))", "quote"),
+        "short": (1, "concat(name, op, quote)", "concat(left(letters, 4 + id % 4), id % 10, substr(b, 9, 3))", "quote"),
+        "lower": (1, "concat(name, op, quote)", "concat(lower(left(letters, 5 + id % 3)), id % 10, lower(substr(letters, 9, 2)))", "quote"),
+        "punctuated": (1, "concat(name, op, quote)", "concat(left(b, 4), element_at(array('!', '@', '&', '#', '%', '*'), cast(id % 6 AS int) + 1), substr(b, 5, 3 + id % 5), element_at(array('!', '#', '$', '^', '?'), cast(id % 5 AS int) + 1), left(h, 2))", "quote"),
+        "worded": (1, "concat(name, op, quote)", "concat(initcap(translate(word, 'aeo', '430')), '!', substr(letters, 3, 3), '#', word2)", "quote"),
+        "letters": (1, "concat(name, op, quote)", "left(letters, 14 + id % 20)", "quote"),
+        "face": (1, "concat(word, ' ')", "concat('hf_', left(letters || reverse(letters), 34))", "' '"),
+        "letter_id": (1, "concat(word, ' ')", "concat('AKIA', upper(left(letters, 16)))", "' '"),
+        "jwt": (1, "concat(word, ' ')", "concat('eyJ', left(b, 20), '.eyJ', substr(b, 3, 30), '.', letters)", "' '"),
+        "url": (1, "concat(element_at(array('postgres', 'https', 'redis', 'amqp'), cast(id % 4 AS int) + 1), '://', if(id % 7 = 0, '', word), ':')", "concat(left(lower(letters), 1 + id % 6), id % 10, substr(b, 3, 3 + id % 7))", "concat('@', word2)"),
+        "prose": (0, "concat(name, element_at(array(' is ', ': ', ' = ', '='), cast(id % 4 AS int) + 1))", "element_at(array('something', 'required', 'important', 'everything', 'necessary', 'available', 'somewhere', 'Christopher', 'obviously', 'published', 'forgotten', 'generated'), cast(pmod(hash(h), 12) AS int) + 1)", "' '"),
+        "prose_words": (0, "concat(name, element_at(array(' is ', ': ', ' = '), cast(id % 3 AS int) + 1))", "concat(word, element_at(array('', '-', '_', '/'), cast(id % 4 AS int) + 1), word2, 'ing')", "' '"),
+        "code": (0, "concat(name, op)", "element_at(array(concat('get', initcap(word), '()'), concat(word, '.', word2), concat('os.environ[', upper(word), ']'), concat('self.', word, '_', word2), concat(word, '(', word2, ')')), cast(id % 5 AS int) + 1)", "' '"),
+        "hole": (0, "concat(name, op, quote)", "element_at(array(concat('<', word, '_', word2, '>'), concat('${', upper(word), '_', upper(word2), '}'), concat('{{', word, word2, '}}'), '************', '............'), cast(id % 5 AS int) + 1)", "quote"),
+        "port": (0, "concat('https://', word, '.org:')", "concat(8000 + id, '/', word, if(id % 2 = 0, '/', '?q='), word2)", "concat('@', word)"),
+        "vendorish": (0, "concat(word, ' ')", "concat(element_at(array('sk_', 'pk-', 'rk_'), cast(id % 3 AS int) + 1), word, '_', word2, '_', word, '_', word2)", "' '"),
         "number": (0, "concat(word, ' ')", "lpad(cast(conv(left(h, 12), 16, 10) AS string), 16, '4')", "' '"),
         "assigned_number": (0, "concat(word, op)", "lpad(cast(conv(left(h, 10), 16, 10) AS string), 13, '1')", "' '"),
         "digest": (0, "concat(benign, ' ')", "left(h, 32 + 8 * (id % 2))", "' '"),
@@ -111,7 +152,7 @@ def labelled_findings(spark: SparkSession, n: int = 240) -> DataFrame:
     for kind, (label, prior, found, after) in kinds.items():
         rows = spark.range(0, n, 1, 1).selectExpr("id", f"'{kind}' AS kind").selectExpr("id", f"{seed} AS h")
         rows = rows.selectExpr(
-            "*", f"{pick(names, 3)} AS name", f"{pick(benign, 5)} AS benign", f"{pick(_WORDS, 11)} AS word", f"{pick(_WORDS, 57)} AS word2", f"{pick(('=', ' = ', ': ', ':', ' := '), 1)} AS op", "element_at(array('', '\"', ''''), cast(id % 3 AS int) + 1) AS quote"
+            "*", "translate(base64(unhex(h)), '+/=', 'xyz') AS b", "left(translate(base64(unhex(h)), '0123456789+/=', 'kLmNpQrStVxyz'), 43) AS letters", f"{pick(names, 3)} AS name", f"{pick(benign, 5)} AS benign", f"{pick(_WORDS, 11)} AS word", f"{pick(_WORDS, 57)} AS word2", f"{pick(('=', ' = ', ': ', ':', ' := '), 1)} AS op", "element_at(array('', '\"', ''''), cast(id % 3 AS int) + 1) AS quote"
         )
         rows = rows.selectExpr(f"concat('and the ', {prior}) AS prior", f"{found} AS found", f"{after} AS next", f"{label}D AS label")
         parts = rows if parts is None else parts.unionByName(rows)
