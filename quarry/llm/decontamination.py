@@ -149,7 +149,7 @@ class ItemIndex:
         return share(self.shingles[i], grams), share(self.question[i], words), share(self.answer[i], words)
 
     def _candidates(self, term: np.ndarray, cell: np.ndarray, cell_row: np.ndarray) -> np.ndarray:
-        """Cells that with the next cell of their row may reach an item, by its rarest terms."""
+        """Cells that with the next cell of their row may reach an item, by its rarest terms in either."""
         at = np.flatnonzero(term >= 0)
         n = np.diff(self.rare_bounds)[term[at]]
         place = np.repeat(self.rare_bounds[term[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -161,7 +161,12 @@ class ItemIndex:
         after = np.minimum(np.searchsorted(pair, pair + len(self.ids)), len(pair) - 1)
         same = (pair[after] == pair + len(self.ids)) & (cell_row[pair[after] // len(self.ids)] == cell_row[pair // len(self.ids)])
         reach = total + np.where(same, total[after], 0)
-        return np.unique(pair[reach >= RETRIEVE - (1 - ESSENTIAL) - 1e-9] // len(self.ids))
+        least = RETRIEVE - (1 - ESSENTIAL) - 1e-9
+        # an item whose rare words all lie in one cell may begin in the cell before
+        alone = pair[total >= least] // len(self.ids)
+        alone = alone[alone > 0]
+        before = alone[cell_row[alone - 1] == cell_row[alone]] - 1
+        return np.unique(np.concatenate([pair[reach >= least] // len(self.ids), before]))
 
     def leaks(self, column: pa.Array) -> Iterator[tuple[int, int, float, float, float, float]]:
         """Row, item number, score and the three shares of every item that a row holds; the passage of

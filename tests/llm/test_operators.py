@@ -382,3 +382,12 @@ def test_plain_values_after_a_secrets_name_are_no_secrets(spark, forest):
     texts = ["the secret is something new", "password: required", "token = getToken()", "pwd=${DB_PASSWORD}", "password=<your_password>", "author: Christopher wrote"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert not any(r.is_secret for r in secret_findings(rows, forest).collect())
+
+
+def test_leaks_across_a_cell_border_behind_a_common_stem(spark):
+    stem = "which of the following answers is the best one"
+    items = [(i, stem + " " + " ".join(f"w{i}x{k}" for k in range(19))) for i in range(500)]
+    docs = [(i, " ".join(f"filler{k}" for k in range(56 - before)) + " " + items[i][1] + " tail of the text" * 5) for i, before in enumerate([1, 5, 8, 9, 9, 9, 10, 20])]
+    docs.append((99, None))
+    found = benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(8)} and all(r.overlap == 1 for r in found)
