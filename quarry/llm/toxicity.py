@@ -23,9 +23,8 @@ from quarry.llm.words import LETTERS, byte_runs, row_chunks, text_buffer
 
 #: Labelled rows that are learnt from at most: a hashed sample of them beyond that.
 MAX_TRAIN = 200_000
-#: Distinct n-grams of the highest order that the models keep at most, the most frequent ones; the
-#: rest is left to the lower orders.
-MAX_NGRAMS = 1 << 21
+#: N-grams that the driver fetches at once; the models keep all of them.
+GRAMS_AT_ONCE = 1 << 21
 THRESHOLD = 0.3
 EXPRESSION = 4
 _MARGIN = 3.0
@@ -149,21 +148,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     joined = text.join(F.broadcast(sample), "lid")  # at most max_train rows of two numbers
     counted = joined.where(F.col("fold") != calibrating).select("label", "text").mapInArrow(_count, "label int, gram long, n long")
     grams = store.put(counted.groupBy("label", "gram").agg(F.sum("n").alias("n")), "grams")
-    if grams.count() > MAX_NGRAMS:
-        at_most, kept, least = grams.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect(), 0, 1
-        for row in at_most:
-            kept += row["count"]
-            if kept > MAX_NGRAMS:
-                least = row["n"] + 1
-                break
-        grams = grams.where(F.col("n") >= least)
-    table = grams.toArrow()
-    label, gram, n = (table.column(c).to_numpy() for c in ("label", "gram", "n"))
     tables = []
     for k in (0, 1):
-        keys = gram[label == k].view(np.uint64)
+        own = grams.where(F.col("label") == k).select("gram", "n")
+        slices = max(1, -(-own.count() // GRAMS_AT_ONCE))
+        parts = [own.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == i).toArrow() for i in range(slices)]
+        keys, n = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("gram", "n"))
+        del parts
+        keys = keys.view(np.uint64)
         order = np.argsort(keys)
-        tables.append((keys[order], n[label == k][order]))
+        tables.append((keys[order], n[order]))
     models = ClassModels(tables)
     model = ToxicityModel(spark, models, (np.zeros(5), np.zeros(4), np.ones(4)), store.root)
 

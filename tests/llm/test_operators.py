@@ -391,3 +391,15 @@ def test_leaks_across_a_cell_border_behind_a_common_stem(spark):
     docs.append((99, None))
     found = benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(8)} and all(r.overlap == 1 for r in found)
+
+
+def test_toxicity_models_keep_every_ngram(spark, sf, monkeypatch):
+    from quarry.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    whole = fit_toxicity(docs, labels)
+    for name in ("MAX_NGRAMS", "GRAMS_AT_ONCE"):
+        monkeypatch.setattr(toxicity, name, 500, raising=False)
+    small = fit_toxicity(docs, labels)
+    for a, b in zip(whole.models.value.own, small.models.value.own, strict=True):
+        assert len(b[-1].grams) > 500 and (a[-1].grams == b[-1].grams).all() and (a[-1].counts == b[-1].counts).all()
