@@ -7,7 +7,8 @@ one string of at most ``WIDTH + STRIDE - 1`` bytes.  A shard sends less the more
 1. the distinct least hashes of its windows, four bytes each; their sorted runs are merged and each
    shard hears which of its hashes occur in two documents or more;
 2. hashes and least documents of the distinct strings around those; equal strings are settled by them,
-   and only the least holder of a string is asked for its bytes, if other strings share its least hash;
+   and only one shard of the least document of a string is asked for its bytes, if other strings share
+   its least hash; further shards of that document (rows of one id) are answered with it;
 3. those bytes, once in all; a content shard builds suffix arrays over them, takes Kasai's common
    prefixes, merges its arrays by binary search if it is larger than ``ARRAY_BYTES``, and answers which
    windows start in a document of a smaller id;
@@ -229,8 +230,8 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
 
     def settle_names(table: pa.Table) -> pa.Table:
-        """Per sending shard: its strings that a smaller document holds whole, and those whose bytes
-        are wanted of it."""
+        """Per sending shard: its strings that a smaller document holds whole, those whose bytes are
+        wanted of it, and those of the same document whose bytes another shard sends."""
         least, own, doc = (_joined(table, c, k) for c, k in (("least", np.uint32), ("own", np.uint64), ("doc", np.int64)))
         rows = np.array([len(x.as_buffer()) // 8 for x in table.column("own").combine_chunks()])
         unique, first, inverse = np.unique(own, return_index=True, return_inverse=True)
@@ -242,11 +243,14 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         np.minimum.at(holder, inverse[~held], np.flatnonzero(~held))
         wanted = np.zeros(len(own), bool)
         wanted[holder[strings[which] > 1]] = True
+        tied = ~held & ~wanted & (strings[which] > 1)[inverse]
         bounds = np.concatenate([[0], np.cumsum(rows)])
-        return pa.table({"shard": table.column("shard"), "held": _blobs([own[a:b][held[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), "wanted": _blobs([own[a:b][wanted[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])})
+        cut = lambda which: _blobs([own[a:b][which[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        return pa.table({"shard": table.column("shard"), "held": cut(held), "wanted": cut(wanted), "tied": cut(tied)})
 
     def send_strings(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        asked = np.sort(_joined(answers, "wanted", np.uint64)) if answers.num_rows else np.zeros(0, np.uint64)
+        tied = _joined(answers, "tied", np.uint64) if answers.num_rows else np.zeros(0, np.uint64)
+        asked = np.sort(np.concatenate([_joined(answers, "wanted", np.uint64), tied])) if answers.num_rows else tied
         if not texts.num_rows or not len(asked):
             return pa.table({"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in ("sizes", "bytes", "least", "own", "doc")}})
         shard = _Shard(texts)
@@ -256,7 +260,7 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         key = _key(shard.least[first], buckets)
         order = np.argsort(key, kind="stable")
         first, smallest, key = first[order], smallest[order], key[order]
-        sizes = (shard.count[first] + WIDTH - 1).astype(np.uint8)
+        sizes = np.where(np.isin(shard.own[first], tied), 0, shard.count[first] + WIDTH - 1).astype(np.uint8)
         ends = np.cumsum(sizes, dtype=np.int64)
         flat = shard.buf[np.repeat(shard.start[first] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         parts = _split(key >> np.uint64(32))
@@ -280,7 +284,10 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sizes = sizes.astype(np.int64)
         rows = np.array([len(x.as_buffer()) for x in table.column("sizes").combine_chunks()])
         begin = np.cumsum(sizes) - sizes
-        unique, first, inverse = np.unique(own, return_index=True, return_inverse=True)
+        lead = np.argsort(sizes == 0, kind="stable")  # a string's bytes come from the one shard that sent them
+        unique, first, place = np.unique(own[lead], return_index=True, return_inverse=True)
+        first, inverse = lead[first], np.empty_like(place)
+        inverse[lead] = place
         owner = np.full(len(unique), _MOST)
         np.minimum.at(owner, inverse, doc)
         # strings of one least hash stay in one array where they fit, else arrays are merged
@@ -373,8 +380,8 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashes = dealt.groupBy("shard").applyInArrow(send_hashes, "bucket int, shard int, hashes binary, several binary")
     shared = hashes.groupBy("bucket").applyInArrow(find_shared, "shard int, bucket int, hashes binary")
     names = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(send_names, "bucket int, shard int, least binary, own binary, doc binary")
-    settled = names.groupBy("bucket").applyInArrow(settle_names, "shard int, held binary, wanted binary")
-    strings = dealt.groupBy("shard").cogroup(settled.select("shard", "wanted").groupBy("shard")).applyInArrow(send_strings, "bucket int, shard int, sizes binary, bytes binary, least binary, own binary, doc binary")
+    settled = names.groupBy("bucket").applyInArrow(settle_names, "shard int, held binary, wanted binary, tied binary")
+    strings = dealt.groupBy("shard").cogroup(settled.select("shard", "wanted", "tied").groupBy("shard")).applyInArrow(send_strings, "bucket int, shard int, sizes binary, bytes binary, least binary, own binary, doc binary")
     older = strings.groupBy("bucket").applyInArrow(compare_strings, "shard int, own binary, masks binary")
     nothing = F.lit(b"")
     answers = settled.select("shard", "held", nothing.alias("own"), nothing.alias("masks")).unionByName(older.select("shard", nothing.alias("held"), "own", "masks"))

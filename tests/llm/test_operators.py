@@ -403,3 +403,13 @@ def test_toxicity_models_keep_every_ngram(spark, sf, monkeypatch):
     small = fit_toxicity(docs, labels)
     for a, b in zip(whole.models.value.own, small.models.value.own, strict=True):
         assert len(b[-1].grams) > 500 and (a[-1].grams == b[-1].grams).all() and (a[-1].counts == b[-1].counts).all()
+
+
+def test_suffix_dedup_cuts_rows_of_one_id_alike_in_any_shard(spark):
+    random = np.random.default_rng(5)
+    made = lambda n: "".join(chr(97 + c) for c in random.integers(0, 26, n))
+    passage = made(300)
+    repeated = made(90) + passage[70:230] + made(90)
+    rows = [(1, passage)] + [(2, repeated)] * 8 + [(i, made(400)) for i in range(3, 20)]
+    found = duplicate_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=700).where("doc_id = 2").collect()
+    assert len(found) == 8 and all([(s.start, s.end) for s in r.spans] == [(90, 250)] for r in found)
