@@ -55,14 +55,16 @@ def neighbour_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold:
             sides.append(sides[0][::-1])
         out: list[list[np.ndarray]] = [[], [], []]
         for left, right in sides:
+            right = right[np.argsort(ids[right], kind="stable")]  # equal scores go by the smaller id
             for a in range(0, len(left), 256):
                 own = left[a : a + 256]
                 s = x[own] @ x[right].T
-                s[own[:, None] == right[None, :]] = -np.inf
+                s = np.copysign(np.floor(np.abs(s) * 1e6 + 0.5) / 1e6, s)  # the score that pairs are ranked by
+                s[(own[:, None] == right[None, :]) | ~(s >= threshold)] = -np.inf
                 top = np.argsort(-s, axis=1, kind="stable")[:, :neighbours]
                 r = np.repeat(np.arange(len(own)), top.shape[1])
                 c = top.reshape(-1)
-                keep = s[r, c] >= threshold - 1e-9
+                keep = s[r, c] > -np.inf
                 out[0].append(ids[own[r[keep]]])
                 out[1].append(ids[right[c[keep]]])
                 out[2].append(s[r[keep], c[keep]])

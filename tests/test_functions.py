@@ -188,3 +188,13 @@ def test_embedder_and_neighbours(spark):
     vectors = dense.embed(rows, "id", "t")
     assert [(r.left_id, r.right_id) for r in dense.neighbour_pairs(vectors, "id", "vector", 0.9).collect()] == [(1, 2)]
     assert dense.pending(rows, vectors.where("id < 3"), "id", "t").count() == 2
+
+
+def test_neighbour_pairs_of_equal_vectors_go_by_the_smaller_id(spark):
+    from quarry.operators import dense
+
+    ids = [7, 30, 12, 5, 28, 3, 19, 11, 26, 2, 17, 9]
+    vectors = spark.createDataFrame([(i, [0.6, 0.8]) for i in ids], "id long, vector array<double>").coalesce(1)
+    least = sorted(ids)
+    want = {tuple(sorted((i, j))) for i in ids for j in [k for k in least if k != i][:5]}
+    assert {(r.left_id, r.right_id) for r in dense.neighbour_pairs(vectors, "id", "vector", 0.9, 5).collect()} == want
