@@ -4,7 +4,7 @@ Texts are cut where the tokenizer's own splitter is certain to cut, distinct pie
 and kept by hash, and the ids of a text are gathered with numpy.  The places are chosen so that the
 ids equal those of encoding the whole text: before white space that follows a visible character, after
 a lone line break or tab, and between an ASCII letter and ASCII punctuation (never after an
-apostrophe).  A text that may hold a special token's string is encoded whole.
+apostrophe).  A text that may hold an added token's string, in whatever case, is encoded whole.
 """
 
 from __future__ import annotations
@@ -73,9 +73,10 @@ class TokenEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        settings = json.loads(self.tokenizer.to_str())
+        self.added = [x["content"].encode().lower() for x in settings["added_tokens"]]
         # a tokenizer that lower-cases and drops white space: pieces that differ in these alone are one
-        lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
+        lowers = '"Lowercase"' in json.dumps(settings.get("normalizer"))
         self.folds = lowers and len({tuple(x) for x in self._library(["ab", " ab", "\nAB"])}) == 1
         self._clear()
 
@@ -114,19 +115,41 @@ class TokenEncoder:
             self.spots = np.insert(self.spots, at[new], made, axis=0)
         return out
 
+    def _whole(self, data: bytes, off: np.ndarray) -> np.ndarray:
+        """Which rows hold the string of an added token."""
+        out = np.zeros(len(off) - 1, bool)
+        lower = data.lower()
+        for token in self.added:
+            at = lower.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(off, at, "right")) - 1
+                out[row] |= at + len(token) <= off[row + 1]
+                at = lower.find(token, at + 1)
+        return out
+
     def rows(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For ranges of rows: first row, end row, all their ids, and the rows' n + 1 offsets."""
         buf, off = text_buffer(column)
         for a, b in row_chunks(off, _CHUNK):
             part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
-            starts = piece_starts(part, at)
+            starts, data = piece_starts(part, at), part.tobytes()
+            whole = self._whole(data, at)
+            special = np.zeros(len(starts), bool)
+            if whole.any():
+                row = np.searchsorted(at, starts, "right") - 1
+                keep = ~whole[row] | (starts == at[row])
+                starts, special = starts[keep], whole[row[keep]]
             begins = starts
             ends = np.append(starts[1:], len(part)) if len(starts) else starts
             if self.folds and len(starts):
                 starts = starts + ((_KINDS[part[starts]] & _WHITE) > 0)
-            hashes = span_hashes(part, starts, ends, fold=self.folds)
+            plain = np.flatnonzero(~special)
+            hashes = span_hashes(part, starts[plain], ends[plain], fold=self.folds)
             unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            spots = self._spots(unique, part.tobytes(), starts[first], ends[first])[inverse]
+            spots = np.empty((len(starts), 2), np.int64)
+            spots[plain] = self._spots(unique, data, starts[plain][first], ends[plain][first])[inverse]
+            if len(plain) < len(starts):
+                spots[special] = self._store(self._library([data[x:y].decode() for x, y in zip(begins[special].tolist(), ends[special].tolist(), strict=True)]))
             ends_at = np.cumsum(spots[:, 1])
             total = int(ends_at[-1]) if len(ends_at) else 0
             ids = self.pool[np.repeat(spots[:, 0] - (ends_at - spots[:, 1]), spots[:, 1]) + np.arange(total)]

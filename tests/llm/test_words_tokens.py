@@ -136,3 +136,14 @@ def test_suffix_arrays_and_prefixes(data, width):
 
 def test_crc_of_known_bytes():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\x02\x00\x00\x00")
+
+
+def test_added_tokens_in_texts_are_matched_as_by_the_plain_library_call():
+    from tokenizers import Tokenizer
+
+    texts = ["abc <|endoftext|> def", "", "abc def", "<|startoftext|>Foo  bar<|endoftext|>", "ABC <|EndOfText|> def", None, "<|endoftext|><|endoftext|>", "a <|endof", "text|> b", "  x <|endoftext|>\n\n y"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain, mine = Tokenizer.from_file(tokenizer_path(name)), TokenEncoder(tokenizer_path(name))
+        want = [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert [ids[x:y].tolist() for _, _, ids, off in mine.rows(pa.array(texts)) for x, y in zip(off[:-1], off[1:], strict=True)] == want
+    assert want[0] == [5334, 49407, 11649]
