@@ -193,7 +193,7 @@ def eval_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _results(spark, sf_dir).select("doc_id", F.coalesce(F.col("rank") <= 8, F.lit(False)).cast("int").alias("a"), F.coalesce(F.col("other") <= 8, F.lit(False)).cast("int").alias("b"))
-    return evaluation.paired_difference(hits, "doc_id", "a", "b", resamples=400)
+    return evaluation.paired_difference(hits, "doc_id", "a", "b")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity)::bigint AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

@@ -198,3 +198,13 @@ def test_neighbour_pairs_of_equal_vectors_go_by_the_smaller_id(spark):
     least = sorted(ids)
     want = {tuple(sorted((i, j))) for i in ids for j in [k for k in least if k != i][:5]}
     assert {(r.left_id, r.right_id) for r in dense.neighbour_pairs(vectors, "id", "vector", 0.9, 5).collect()} == want
+
+
+def test_paired_bootstrap_draws_the_references_resamples(spark, sf, monkeypatch):
+    from quarry.operators import evaluation
+    from quarry.plans.all_queries import QUERIES
+
+    drawn = []
+    plain = evaluation.paired_difference
+    monkeypatch.setattr(evaluation, "paired_difference", lambda *args, resamples=evaluation.RESAMPLES, **more: drawn.append(resamples) or plain(*args, resamples=resamples, **more))
+    assert QUERIES["paired_bootstrap"](spark, sf).count() == 1 and drawn == [2000]
