@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+_MOST = np.iinfo(np.int64).max
+
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffixes of a byte text in order.
@@ -87,38 +89,67 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return lcp
 
 
-def window_minima(text: np.ndarray, valid: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of a shard in order: the first position of each and the least owner of the
-    valid positions that start it; the second result gives every position's window number."""
+def ordered_windows(text: np.ndarray, valid: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's distinct windows that start at a valid position, in order: their bytes, the least owner
+    of the positions that start them, and every position's window number."""
     order = suffix_array(text)
-    lcp = common_prefixes(text, order, width)
-    number = np.cumsum(lcp < width) - 1
-    first = np.flatnonzero(lcp < width)
-    least = np.minimum.reduceat(np.where(valid, owner, np.iinfo(np.int64).max)[order], first) if len(order) else np.zeros(0, np.int64)
+    first = np.flatnonzero(common_prefixes(text, order, width) < width)
+    if not len(order):
+        return np.zeros(0, f"S{width + 1}"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = np.minimum.reduceat(np.where(valid, owner, _MOST)[order], first)
+    begun = least < _MOST
     window = np.empty(len(text), np.int64)
-    window[order] = number
-    return np.stack([order[first], least], 1) if len(order) else np.zeros((0, 2), np.int64), window
+    window[order] = np.repeat(np.cumsum(begun) - 1, np.diff(np.append(first, len(order))))
+    return window_keys(text, order[first[begun]], width), least[begun], window
+
+
+def window_keys(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The windows at some positions as fixed strings that sort by their bytes."""
+    # a last byte of one keeps numpy from dropping zero bytes at a window's end
+    keys = np.ones((len(at), width + 1), np.uint8)
+    padded = np.concatenate([text, np.zeros(width, np.uint8)])
+    keys[:, :width] = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
+    return keys.view(f"S{width + 1}").reshape(-1)
+
+
+class MergedWindows:
+    """The distinct windows of several shards in order, each with its least owner."""
 
+    def __init__(self, keys: np.ndarray, least: np.ndarray) -> None:
+        self.keys, self.least = keys, least
 
-def merge_shards(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> list[np.ndarray]:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of windows by binary search, and which of them are there."""
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        return at, there
+
+    def add(self, keys: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Merge a shard's ordered windows in; returns the least owner of each so far."""
+        at, there = self.find(keys)
+        out = least.copy()
+        out[there] = np.minimum(least[there], self.least[at[there]])
+        self.least[at[there]] = out[there]
+        self.keys = np.insert(self.keys, at[~there], keys[~there])
+        self.least = np.insert(self.least, at[~there], least[~there])
+        return out
+
+
+def merge_shards(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, merged: MergedWindows | None = None) -> list[np.ndarray]:
     """For every position of every shard (text, valid, owner), the least owner of its window over all
-    shards: each shard's distinct windows are looked up in every other shard's order by binary search."""
-    tables = []
+    shards and those already merged: each shard's array finds its windows by binary search.
+
+    Shards in the order of their owners hear of those before them alone, as later ones have nothing older.
+    """
+    merged = merged or MergedWindows(np.zeros(0, f"S{width + 1}"), np.zeros(0, np.int64))
+    tables, ordered, last = [], True, -1
     for text, valid, owner in shards:
-        distinct, window = window_minima(text, valid, owner, width)
-        padded = np.concatenate([text, np.zeros(width, np.uint8)])
-        tables.append((distinct, window, padded))
-    if len(shards) == 1:
-        return [tables[0][0][tables[0][1], 1] if len(tables[0][0]) else np.zeros(0, np.int64)]
-    most = np.iinfo(np.int64).max
-    begun = [np.flatnonzero(d[:, 1] < most) if len(d) else np.zeros(0, np.int64) for d, _, _ in tables]
-    # a last byte of one keeps numpy from dropping zero bytes at a window's end
-    keys = [np.frombuffer(b"".join(bytes(p[i : i + width]) + b"\1" for i in d[own, 0].tolist()), f"S{width + 1}") if len(own) else np.zeros(0, f"S{width + 1}") for (d, _, p), own in zip(tables, begun, strict=True)]
-    least = [d[:, 1].copy() for d, _, _ in tables]
-    for i, mine in enumerate(keys):
-        for j, theirs in enumerate(keys):
-            if i != j and len(mine) and len(theirs):
-                at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-                there = np.where(theirs[at] == mine, tables[j][0][begun[j][at], 1], most)
-                least[i][begun[i]] = np.minimum(least[i][begun[i]], there)
-    return [m[w] if len(m) else np.zeros(0, np.int64) for m, (_, w, _) in zip(least, tables, strict=True)]
+        keys, own, window = ordered_windows(text, valid, owner, width)
+        tables.append((keys, merged.add(keys, own), window))
+        if len(own):
+            ordered &= last <= own.min()
+            last = max(last, own.max())
+    if not ordered:
+        tables = [(keys, merged.least[merged.find(keys)[0]], window) for keys, _, window in tables]
+    return [least[window] if len(least) else np.full(len(window), _MOST) for _, least, window in tables]

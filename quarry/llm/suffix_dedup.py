@@ -1,41 +1,45 @@
 """Suffix-array dedup: bytes of 50-byte strings that also start in a document of a smaller id.
 
-Texts are dealt into shards.  A window of ``WIDTH`` bytes belongs to the content shard of its least
-``GRAM``-byte hash, so equal windows meet in one place, and neighbouring windows of one least hash make
-one string of at most ``WIDTH + STRIDE - 1`` bytes.  A shard sends less the more it sends it about:
-
-1. the distinct least hashes of its windows, four bytes each; their sorted runs are merged and each
-   shard hears which of its hashes occur in two documents or more;
-2. hashes and least documents of the distinct strings around those; equal strings are settled by them,
-   and only one shard of the least document of a string is asked for its bytes, if other strings share
-   its least hash; further shards of that document (rows of one id) are answered with it;
-3. those bytes, once in all; a content shard builds suffix arrays over them, takes Kasai's common
-   prefixes, merges its arrays by binary search if it is larger than ``ARRAY_BYTES``, and answers which
-   windows start in a document of a smaller id;
-4. shards of texts turn the answers into spans.  A string that a shard holds in several documents is
+A window of ``WIDTH`` bytes is known by its least ``GRAM``-byte hash, so that equal windows meet in one
+place, and neighbouring windows of one least hash make one string of at most ``WIDTH + STRIDE - 1`` bytes.
+Hashes only choose what is compared and where; every decision is taken on bytes.
+
+1. Shards of texts name the least hashes of their windows.  Those that occur in two documents or more are
+   asked for again (``asked``), the others hold nothing that repeats.
+2. Shards send the distinct strings around them, each once and with its least document, to content shards.
+3. A content shard collapses equal strings, builds suffix arrays over them in the order of their documents,
+   takes Kasai's common prefixes, and merges its arrays by binary search: every window hears of the least
+   document that it starts in.  A hash of more than ``SPLIT`` strings is dealt over several content
+   shards by where its strings come from, whose ordered windows are merged before they answer.
+4. Shards of texts turn the answers into spans.  A string that a shard holds in several documents is
    kept by the smallest alone, so a passage of any number of documents is sent once per shard.
 
-The texts are shuffled once and read by all four steps.
+Every exchange has rows by the count of hashes or strings, which grow with the input and no faster.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.suffix import merge_shards
+from quarry.llm.store import Store
+from quarry.llm.suffix import MergedWindows, merge_shards
 from quarry.llm.words import _powers, mix, text_buffer
 
 WIDTH, GRAM = 50, 20
 #: Windows of one sent string at most; strings are at most WIDTH + STRIDE - 1 bytes.
 STRIDE = 32
-#: Bytes of text in a shard and, about, of strings in a content shard; bytes of one suffix array.
-SHARD_BYTES, ARRAY_BYTES = 2 << 20, 8 << 20
+#: Bytes of text in a shard (a content shard has about twice that of strings); bytes of one suffix array.
+SHARD_BYTES, ARRAY_BYTES = 2 << 20, 1 << 20
+#: Strings of one hash, summed over the shards of texts, that a content shard takes.
+SPLIT = 1 << 16
 _CHUNK = 1 << 20
 _MOST = np.iinfo(np.int64).max
 
@@ -124,41 +128,93 @@ class _Shard:
         self.doc = self.ids[self.row]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One run of each string, that string's least document, and every run's string number."""
+        """One run of each string, that string's least document, and every run's string number.
+
+        Numbers follow hashes, whatever the order of rows; strings are told apart by their bytes."""
         _, first, inverse = np.unique(self.own, return_index=True, return_inverse=True)
+        like = first[inverse]
+        twin = np.flatnonzero(like != np.arange(len(self.own)))
+        same = self.count[twin] == self.count[like[twin]]
+        same[same] = self._equal(twin[same], like[twin[same]])
+        if not same.all():  # strings of one hash: all of them are named anew, by their bytes
+            for i in np.flatnonzero(np.isin(self.own, self.own[twin[~same]])).tolist():
+                text = self.buf[self.start[i] : self.start[i] + self.count[i] + WIDTH - 1].tobytes()
+                self.own[i] = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+            return self.distinct()
         smallest = np.full(len(first), _MOST)
         np.minimum.at(smallest, inverse, self.doc)
         return first, smallest, inverse
 
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether runs of equal sizes have equal bytes."""
+        out = np.ones(len(a), bool)
+        for at in range(0, len(a), 1 << 15):
+            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+            n = self.count[x] + WIDTH - 1
+            ends = np.cumsum(n)
+            inner = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+            differ = self.buf[np.repeat(self.start[x], n) + inner] != self.buf[np.repeat(self.start[y], n) + inner]
+            out[at : at + len(x)] = np.add.reduceat(differ, ends - n) == 0
+        return out
+
+    def flat(self, runs: np.ndarray) -> pa.Array:
+        """The bytes of runs as a binary column."""
+        n = self.count[runs] + WIDTH - 1
+        off = np.concatenate([[0], np.cumsum(n)])
+        flat = self.buf[np.repeat(self.start[runs] - off[:-1], n) + np.arange(int(off[-1]))]
+        return pa.Array.from_buffers(pa.binary(), len(runs), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+_ALL = (1 << 32) - 1
+
+
+class _Content:
+    """The strings of a content shard: rows as they were sent, distinct strings, and their windows."""
+
+    def __init__(self, table: pa.Table, array_bytes: int) -> None:
+        coded = table.column("bytes").combine_chunks().dictionary_encode()
+        self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.buf, self.off = text_buffer(coded.dictionary)
+        self.doc = table.column("doc").to_numpy()
+        self.owner = np.full(len(self.off) - 1, _MOST)
+        np.minimum.at(self.owner, self.code, self.doc)
+        order = np.argsort(self.owner, kind="stable")
+        size = np.diff(self.off)
+        array = np.cumsum(size[order]) // array_bytes
+        cuts = np.concatenate([[0], np.flatnonzero(array[1:] != array[:-1]) + 1, [len(order)]]) if len(order) else [0]
+        self.places, self.shards = [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            which = order[a:b]
+            n = size[which]
+            ends = np.cumsum(n)
+            inner = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+            text = self.buf[np.repeat(self.off[:-1][which], n) + inner]
+            starts = inner <= np.repeat(n, n) - WIDTH
+            self.shards.append((text, starts, np.repeat(self.owner[which], n)))
+            self.places.append((np.repeat(which, n)[starts], inner[starts], starts))
+
+    def windows(self) -> MergedWindows:
+        """All distinct windows and their least documents here."""
+        merged = MergedWindows(np.zeros(0, f"S{WIDTH + 1}"), np.zeros(0, np.int64))
+        merge_shards(self.shards, WIDTH, merged)
+        return merged
+
+    def answers(self, merged: MergedWindows | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that lose something, and which of their windows, as bits."""
+        masks = np.zeros(len(self.owner), np.int64)
+        for oldest, (which, inner, starts) in zip(merge_shards(self.shards, WIDTH, merged), self.places, strict=True):
+            older = oldest[starts] < self.owner[which]
+            np.bitwise_or.at(masks, which[older], np.int64(1) << inner[older])
+        found = np.where(self.doc > self.owner[self.code], _ALL, masks[self.code])
+        rows = np.flatnonzero(found)
+        return rows, found[rows]
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
-def _key(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and low half of a hash in one sortable number."""
-    return (_bucket(hashes, buckets) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
-
-
-def _split(sorted_bucket: np.ndarray) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of each bucket in a sorted array."""
-    if not len(sorted_bucket):
-        return []
-    at = np.concatenate([[0], np.flatnonzero(sorted_bucket[1:] != sorted_bucket[:-1]) + 1, [len(sorted_bucket)]])
-    return list(zip(sorted_bucket[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
-
-
-def _blobs(values: list[np.ndarray]) -> pa.Array:
-    return pa.array([v.tobytes() for v in values], pa.binary())
 
-
-def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    """The values of a column of blobs, one after the other."""
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name).combine_chunks()]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
+def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, array_bytes: int = ARRAY_BYTES, split: int = SPLIT) -> DataFrame:
     """Bytes of each text that a 50-byte string covers which also starts in a document of a smaller id.
 
     Returns one row per input row: the id, ``n_bytes``, ``spans`` (maximal removed runs, start and end
@@ -168,6 +224,7 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored.
     """
     spark = docs.sparkSession
+    store = Store(spark, "suffix")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     buckets = max(1, math.ceil(total / (2 * shard_bytes)))
@@ -175,154 +232,69 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
 
     def send_hashes(table: pa.Table) -> pa.Table:
+        """Least hashes of a shard: a document, the number of strings, and whether it has two documents."""
         shard = _Shard(table)
-        key, doc = _key(shard.least, buckets), shard.doc
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(key) else np.zeros(0, bool)
-        key = key[first]
-        parts = _split(key >> np.uint64(32))
-        low = key.astype(np.uint32)
-        return pa.table(
-            {
-                "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
-                "shard": pa.array(np.full(len(parts), table.column("shard")[0].as_py(), np.int32)),
-                "hashes": _blobs([low[a:b] for _, a, b in parts]),
-                "several": _blobs([np.packbits(several[a:b]) for _, a, b in parts]),
-            }
-        )
-
-    def find_shared(table: pa.Table) -> pa.Table:
-        """Merge the shards' sorted hashes; answer each shard with its hashes of two documents or more."""
-        runs = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("hashes").combine_chunks()]
-        several = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(r)).astype(bool) for x, r in zip(table.column("several").combine_chunks(), runs, strict=True)]
-        merged = np.sort(np.concatenate([*runs, *(r[s] for r, s in zip(runs, several, strict=True))]))
-        shared = np.unique(merged[1:][merged[1:] == merged[:-1]])
-        answers = []
-        for run in runs:
-            at = np.minimum(np.searchsorted(shared, run), max(len(shared) - 1, 0))
-            answers.append(run[shared[at] == run] if len(shared) else run[:0])
-        some = [i for i, a in enumerate(answers) if len(a)]
-        return pa.table({"shard": table.column("shard").combine_chunks().take(pa.array(some, pa.int64())), "bucket": table.column("bucket").combine_chunks().take(pa.array(some, pa.int64())), "hashes": _blobs([answers[i] for i in some])})
-
-    def send_names(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows or not answers.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in ("least", "own", "doc")}})
-        shard = _Shard(texts)
-        asked = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("hashes").combine_chunks(), strict=True)]))
-        first, smallest, _ = shard.distinct()
-        key = _key(shard.least[first], buckets)
-        hit = asked[np.minimum(np.searchsorted(asked, key), len(asked) - 1)] == key
-        first, smallest, key = first[hit], smallest[hit], key[hit]
-        order = np.argsort(key, kind="stable")
-        first, smallest, key = first[order], smallest[order], key[order]
-        parts = _split(key >> np.uint64(32))
-        cut = lambda x: _blobs([x[a:b] for _, a, b in parts])
-        return pa.table(
-            {
-                "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
-                "shard": pa.array(np.full(len(parts), texts.column("shard")[0].as_py(), np.int32)),
-                "least": cut(key.astype(np.uint32)),
-                "own": cut(shard.own[first]),
-                "doc": cut(smallest),
-            }
-        )
-
-    def settle_names(table: pa.Table) -> pa.Table:
-        """Per sending shard: its strings that a smaller document holds whole, those whose bytes are
-        wanted of it, and those of the same document whose bytes another shard sends."""
-        least, own, doc = (_joined(table, c, k) for c, k in (("least", np.uint32), ("own", np.uint64), ("doc", np.int64)))
-        rows = np.array([len(x.as_buffer()) // 8 for x in table.column("own").combine_chunks()])
-        unique, first, inverse = np.unique(own, return_index=True, return_inverse=True)
-        smallest = np.full(len(unique), _MOST)
-        np.minimum.at(smallest, inverse, doc)
-        held = doc > smallest[inverse]
-        _, which, strings = np.unique(least[first], return_inverse=True, return_counts=True)
-        holder = np.full(len(unique), len(own))
-        np.minimum.at(holder, inverse[~held], np.flatnonzero(~held))
-        wanted = np.zeros(len(own), bool)
-        wanted[holder[strings[which] > 1]] = True
-        tied = ~held & ~wanted & (strings[which] > 1)[inverse]
-        bounds = np.concatenate([[0], np.cumsum(rows)])
-        cut = lambda which: _blobs([own[a:b][which[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-        return pa.table({"shard": table.column("shard"), "held": cut(held), "wanted": cut(wanted), "tied": cut(tied)})
+        first, _, _ = shard.distinct()
+        order = np.argsort(shard.least, kind="stable")
+        hashes, doc = shard.least[order], shard.doc[order]
+        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        low = np.minimum.reduceat(doc, begin) if len(begin) else begin
+        several = low != np.maximum.reduceat(doc, begin) if len(begin) else np.zeros(0, bool)
+        hashes = hashes[begin]
+        strings = np.bincount(np.searchsorted(hashes, shard.least[first]), minlength=len(hashes)).astype(np.int32)
+        return pa.table({"shard": pa.array(np.full(len(hashes), table.column("shard")[0].as_py(), np.int32)), "hash": pa.array(hashes.view(np.int64)), "low": pa.array(low, pa.int64()), "strings": pa.array(np.where(several, -strings, strings), pa.int32())})
+
+    hashes = dealt.groupBy("shard").applyInArrow(send_hashes, "shard int, hash long, low long, strings int")
+    alike = W.partitionBy("hash")
+    of_hash = hashes.select("shard", "hash", F.min("low").over(alike).alias("low"), F.max("low").over(alike).alias("high"), F.min("strings").over(alike).alias("least"), F.sum(F.abs("strings")).over(alike).alias("all"))
+    asked = store.put(of_hash.where("least < 0 OR low <> high").select("shard", "hash", F.ceil(F.col("all") / F.lit(split)).cast("int").alias("parts")), "asked")
 
     def send_strings(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        tied = _joined(answers, "tied", np.uint64) if answers.num_rows else np.zeros(0, np.uint64)
-        asked = np.sort(np.concatenate([_joined(answers, "wanted", np.uint64), tied])) if answers.num_rows else tied
-        if not texts.num_rows or not len(asked):
-            return pa.table({"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in ("sizes", "bytes", "least", "own", "doc")}})
-        shard = _Shard(texts)
+        if not texts.num_rows or not answers.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "nth": pa.array([], pa.int32()), "doc": pa.array([], pa.int64()), "bytes": pa.array([], pa.binary())})
+        shard, number = _Shard(texts), texts.column("shard")[0].as_py()
+        wanted = answers.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(wanted)
+        wanted, parts = wanted[order], answers.column("parts").to_numpy()[order]
         first, smallest, _ = shard.distinct()
-        hit = asked[np.minimum(np.searchsorted(asked, shard.own[first]), len(asked) - 1)] == shard.own[first]
-        first, smallest = first[hit], smallest[hit]
-        key = _key(shard.least[first], buckets)
-        order = np.argsort(key, kind="stable")
-        first, smallest, key = first[order], smallest[order], key[order]
-        sizes = np.where(np.isin(shard.own[first], tied), 0, shard.count[first] + WIDTH - 1).astype(np.uint8)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        flat = shard.buf[np.repeat(shard.start[first] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        parts = _split(key >> np.uint64(32))
-        bounds = np.concatenate([[0], ends])
-        cut = lambda x: _blobs([x[a:b] for _, a, b in parts])
-        return pa.table(
-            {
-                "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
-                "shard": pa.array(np.full(len(parts), texts.column("shard")[0].as_py(), np.int32)),
-                "sizes": cut(sizes),
-                "bytes": _blobs([flat[bounds[a] : bounds[b]] for _, a, b in parts]),
-                "least": cut(key.astype(np.uint32)),
-                "own": cut(shard.own[first]),
-                "doc": cut(smallest),
-            }
-        )
-
-    def compare_strings(table: pa.Table) -> pa.Table:
-        """Which windows of each sent string start in a document of a smaller id than the sender's."""
-        sizes, flat, own, doc, least = (_joined(table, c, k) for c, k in (("sizes", np.uint8), ("bytes", np.uint8), ("own", np.uint64), ("doc", np.int64), ("least", np.uint32)))
-        sizes = sizes.astype(np.int64)
-        rows = np.array([len(x.as_buffer()) for x in table.column("sizes").combine_chunks()])
-        begin = np.cumsum(sizes) - sizes
-        lead = np.argsort(sizes == 0, kind="stable")  # a string's bytes come from the one shard that sent them
-        unique, first, place = np.unique(own[lead], return_index=True, return_inverse=True)
-        first, inverse = lead[first], np.empty_like(place)
-        inverse[lead] = place
-        owner = np.full(len(unique), _MOST)
-        np.minimum.at(owner, inverse, doc)
-        # strings of one least hash stay in one array where they fit, else arrays are merged
-        order = np.argsort(least[first], kind="stable")
-        length = sizes[first][order]
-        array = np.cumsum(length) // array_bytes
-        groups, marks = [], least[first][order]
-        for _, a, b in _split(array):
-            groups.append((a, b))
-        oldest = np.full((len(unique), STRIDE), _MOST)
-        at = 0
-        while at < len(groups):
-            to = at + 1  # arrays that share a hash across their border are merged
-            while to < len(groups) and marks[groups[to][0]] == marks[groups[to][0] - 1]:
-                to += 1
-            parts, places = [], []
-            for a, b in groups[at:to]:
-                which = order[a:b]
-                n = sizes[first[which]]
-                ends = np.cumsum(n)
-                offset = np.repeat(ends - n, n)
-                inner = np.arange(int(ends[-1])) - offset
-                text = flat[np.repeat(begin[first[which]], n) + inner]
-                starts = inner <= np.repeat(n, n) - WIDTH
-                parts.append((text, starts, np.repeat(owner[which], n)))
-                places.append((np.repeat(which, n)[starts], inner[starts], starts))
-            for found, (which, inner, starts) in zip(merge_shards(parts, WIDTH), places, strict=True):
-                oldest[which, inner] = found[starts]
-            at = to
-        older = oldest[inverse] < doc[:, None]
-        masks = np.packbits(older, axis=1, bitorder="little").view(np.uint32).reshape(-1)
-        bounds = np.concatenate([[0], np.cumsum(rows)])
-        answers = [np.flatnonzero(masks[a:b]) + a for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        some = [i for i, x in enumerate(answers) if len(x)]
-        return pa.table({"shard": table.column("shard").combine_chunks().take(pa.array(some, pa.int64())), "own": _blobs([own[answers[i]] for i in some]), "masks": _blobs([masks[answers[i]] for i in some])})
+        at = np.minimum(np.searchsorted(wanted, shard.least[first]), len(wanted) - 1)
+        nth = np.flatnonzero(wanted[at] == shard.least[first])
+        first, parts = first[nth], parts[at[nth]]
+        bucket = np.where(parts > 1, shard.least[first].view(np.int64), _bucket(shard.least[first], buckets))
+        part = np.where(parts > 1, 1 + number % parts, 0)
+        return pa.table({"bucket": pa.array(bucket), "part": pa.array(part.astype(np.int32)), "shard": pa.array(np.full(len(nth), number, np.int32)), "nth": pa.array(nth.astype(np.int32)), "doc": pa.array(smallest[nth]), "bytes": shard.flat(first)})
+
+    def strings_of(asked: DataFrame) -> DataFrame:
+        return dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(send_strings, "bucket long, part int, shard int, nth int, doc long, bytes binary")
+
+    def answered(table: pa.Table, rows: np.ndarray, masks: np.ndarray) -> pa.Table:
+        some = pa.array(rows)
+        return pa.table({"shard": table.column("shard").take(some), "nth": table.column("nth").take(some), "mask": pa.array(masks, pa.int64())})
+
+    def compare(table: pa.Table) -> pa.Table:
+        return answered(table, *_Content(table, array_bytes).answers())
+
+    def list_windows(table: pa.Table) -> pa.Table:
+        """The ordered windows of one part of a split hash."""
+        merged = _Content(table, array_bytes).windows()
+        n = len(merged.keys)
+        return pa.table({"bucket": pa.array(np.full(n, table.column("bucket")[0].as_py(), np.int64)), "part": pa.array(np.full(n, table.column("part")[0].as_py(), np.int32)), "window": pa.array(merged.keys.tolist(), pa.binary()), "low": pa.array(merged.least)})
+
+    def compare_part(table: pa.Table, others: pa.Table) -> pa.Table:
+        """A part's answers after the windows that other parts hold in smaller documents are merged in."""
+        if not table.num_rows:
+            return pa.table({"shard": pa.array([], pa.int32()), "nth": pa.array([], pa.int32()), "mask": pa.array([], pa.int64())})
+        keys, least = np.array(others.column("window").to_pylist(), f"S{WIDTH + 1}"), others.column("oldest").to_numpy()
+        order = np.argsort(keys)
+        return answered(table, *_Content(table, array_bytes).answers(MergedWindows(keys[order], least[order])))
+
+    kind = "shard int, nth int, mask long"
+    older = strings_of(asked.where("parts = 1")).groupBy("bucket", "part").applyInArrow(compare, kind)
+    if not asked.where("parts > 1").isEmpty():
+        halves = store.put(strings_of(asked.where("parts > 1")), "split")
+        windows = halves.groupBy("bucket", "part").applyInArrow(list_windows, "bucket long, part int, window binary, low long")
+        oldest = windows.withColumn("oldest", F.min("low").over(W.partitionBy("bucket", "window"))).where("oldest < low").select("bucket", "part", "window", "oldest")
+        older = older.unionByName(halves.groupBy("bucket", "part").cogroup(oldest.groupBy("bucket", "part")).applyInArrow(compare_part, kind))
 
     def cut_spans(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -331,29 +303,19 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n = len(shard.buf)
         cover = np.zeros(n + 1, np.int32)
         if len(shard.own):
-            _, smallest, inverse = shard.distinct()
-            whole = shard.doc > smallest[inverse]
+            first, smallest, inverse = shard.distinct()
+            mask = np.zeros(len(first), np.int64)
+            if answers.num_rows:
+                mask[answers.column("nth").to_numpy()] = answers.column("mask").to_numpy()
+            mask = np.where(shard.doc > smallest[inverse], _ALL, mask[inverse])
+            whole = mask == _ALL
             np.add.at(cover, shard.start[whole], 1)
             np.subtract.at(cover, shard.start[whole] + shard.count[whole] + WIDTH - 1, 1)
-            if answers.num_rows:
-                held = np.sort(_joined(answers, "held", np.uint64))
-                if len(held):
-                    known = np.flatnonzero(~whole)
-                    known = known[held[np.minimum(np.searchsorted(held, shard.own[known]), len(held) - 1)] == shard.own[known]]
-                    np.add.at(cover, shard.start[known], 1)
-                    np.subtract.at(cover, shard.start[known] + shard.count[known] + WIDTH - 1, 1)
-                own, masks = _joined(answers, "own", np.uint64), _joined(answers, "masks", np.uint32)
-            if answers.num_rows and len(own):
-                order = np.argsort(own)
-                own, masks = own[order], masks[order]
-                rest = np.flatnonzero(~whole)
-                at = np.minimum(np.searchsorted(own, shard.own[rest]), len(own) - 1)
-                hit = own[at] == shard.own[rest]
-                rest, mask = rest[hit], masks[at[hit]]
-                bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little").astype(bool)
-                which, window = np.nonzero(bits)
-                np.add.at(cover, shard.start[rest][which] + window, 1)
-                np.subtract.at(cover, shard.start[rest][which] + window + WIDTH, 1)
+            rest = np.flatnonzero((mask > 0) & ~whole)
+            bits = np.unpackbits(mask[rest].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+            which, window = np.nonzero(bits)
+            np.add.at(cover, shard.start[rest][which] + window, 1)
+            np.subtract.at(cover, shard.start[rest][which] + window + WIDTH, 1)
         gone = np.cumsum(cover[:-1]) > 0
         first, last = gone.copy(), gone.copy()
         if n:
@@ -377,14 +339,6 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             }
         )
 
-    hashes = dealt.groupBy("shard").applyInArrow(send_hashes, "bucket int, shard int, hashes binary, several binary")
-    shared = hashes.groupBy("bucket").applyInArrow(find_shared, "shard int, bucket int, hashes binary")
-    names = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(send_names, "bucket int, shard int, least binary, own binary, doc binary")
-    settled = names.groupBy("bucket").applyInArrow(settle_names, "shard int, held binary, wanted binary, tied binary")
-    strings = dealt.groupBy("shard").cogroup(settled.select("shard", "wanted", "tied").groupBy("shard")).applyInArrow(send_strings, "bucket int, shard int, sizes binary, bytes binary, least binary, own binary, doc binary")
-    older = strings.groupBy("bucket").applyInArrow(compare_strings, "shard int, own binary, masks binary")
-    nothing = F.lit(b"")
-    answers = settled.select("shard", "held", nothing.alias("own"), nothing.alias("masks")).unionByName(older.select("shard", nothing.alias("held"), "own", "masks"))
-    found = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(cut_spans, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    found = dealt.groupBy("shard").cogroup(older.groupBy("shard")).applyInArrow(cut_spans, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct(s["starts"].alias("start"), s["ends"].alias("end")))
     return found.select(F.col("doc_id").alias(id_col), "n_bytes", spans.alias("spans"), "kept")

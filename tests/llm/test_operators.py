@@ -20,7 +20,7 @@ from quarry.llm.packing import pack, sequences
 from quarry.llm.quality import fit_quality, with_quality
 from quarry.llm.secrets import labelled_findings, secret_findings, train_forest, without_secrets
 from quarry.llm.simple8b import token_file
-from quarry.llm.suffix_dedup import duplicate_bytes
+from quarry.llm.suffix_dedup import _Shard, duplicate_bytes
 from quarry.llm.token_counts import context_totals, length_histogram, length_quantile, tokens_within
 from quarry.llm.tokens import tokenizer_path
 from quarry.llm.toxicity import fit_toxicity, with_toxicity
@@ -145,6 +145,34 @@ def test_suffix_dedup_with_tiny_shards(spark):
     one = {r.doc_id: r.spans for r in duplicate_bytes(frame).collect()}
     many = {r.doc_id: r.spans for r in duplicate_bytes(frame, shard_bytes=700, array_bytes=256).collect()}
     assert one == many and any(one.values())
+    split = {r.doc_id: r.spans for r in duplicate_bytes(frame, shard_bytes=700, array_bytes=256, split=2).collect()}
+    assert one == split
+
+
+def test_suffix_dedup_of_one_hash_in_many_contexts(spark):
+    """A run of equal bytes gives one least hash for strings that all differ beside it: its parts are merged."""
+    random = np.random.default_rng(8)
+    rows = [(i, "".join(chr(97 + x) for x in random.integers(0, 2, 30)) + "=" * int(random.integers(40, 60)) + "".join(chr(97 + x) for x in random.integers(0, 2, 30))) for i in range(60)]
+    seen, want = {}, {}
+    for i, t in rows:
+        gone = np.zeros(len(t) + 1, int)
+        for p in range(len(t) - 49):
+            if seen.setdefault(t[p : p + 50], i) < i:
+                gone[p] += 1
+                gone[p + 50] -= 1
+        want[i] = int((np.cumsum(gone) > 0).sum())
+    found = duplicate_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=500, array_bytes=200, split=3).collect()
+    assert {r.doc_id: sum(s.end - s.start for s in r.spans) for r in found} == want and any(want.values())
+
+
+def test_suffix_dedup_tells_strings_of_one_hash_apart():
+    import pyarrow as pa
+
+    text = "".join(chr(97 + x) for x in np.random.default_rng(4).integers(0, 26, 400))
+    shard = _Shard(pa.table({"doc_id": [1, 2], "text": [text, text[::-1]]}))
+    plain = len(shard.distinct()[0])
+    shard.own[shard.row == 1] = shard.own[0]
+    assert len(shard.distinct()[0]) == plain
 
 
 def test_suffix_dedup_on_awkward_rows(odd, empty):
