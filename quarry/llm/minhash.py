@@ -5,11 +5,12 @@ round t + j sends every element to bin j.  A bin keeps its smallest value and a
 all bins are full, so every coordinate fills and a large set costs little more than one pass.
 
 Groups of any size stay bounded.  Documents of one shingle set collapse to their smallest id before
-anything is paired.  Buckets are joined only to their smallest member; the components of these stars
-are the candidate clusters, which hold every pair that shares a bucket.  In a cluster every member is
-verified against the most central member, and only members left unlinked are compared with the rest,
-in blocks of bounded size that return a spanning forest instead of pairs.  No bucket, cluster or
-partner count is capped.
+anything is paired.  Two sets are a candidate pair if they share a band.  Every set is first verified
+against its anchor, the smallest set that it shares a band with; the links found so settle most bands, in
+which all sets are connected.  In the others the sets outside the largest connected part are compared
+with all sets of the band: sets lie in blocks of bounded size by their anchor, and two blocks meet if
+some band needs it.  A block returns a spanning forest instead of pairs.  No bucket, block or partner
+count is capped, and every candidate pair that is not yet connected is verified on full sets.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles that a block of the residual comparison holds, about.
 BLOCK = 150_000
-#: Pairs whose sketches agree on fewer coordinates are not verified: 0.75 less six standard deviations.
-LEAST_AGREEMENT = 0.75 - 6 * (0.75 * 0.25 / COORDINATES) ** 0.5
 
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 56) - 1)
@@ -106,7 +105,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full sets of cluster members, as little-endian 64-bit values."""
+    """Full sets that share a band, as little-endian 64-bit values."""
     for batch in batches:
         at = 0
         for values, off in _sets(batch.column(batch.schema.get_field_index("text"))):
@@ -115,7 +114,7 @@ def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blobs = pa.array([values[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
             part = batch.slice(at, n)
             same = pa.array((h1 == part.column("h1").to_numpy()) & (h2 == part.column("h2").to_numpy()))
-            yield pa.record_batch([part.column("id"), part.column("cluster"), part.column("pivot"), pa.array(np.diff(off)), blobs], ["id", "cluster", "pivot", "n", "items"]).filter(same)
+            yield pa.record_batch([part.column("id"), part.column("anchor"), pa.array(np.diff(off)), blobs], ["id", "anchor", "n", "items"]).filter(same)
             at += n
 
 
@@ -126,47 +125,46 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _verify_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, pivots = batch.column("id").to_numpy(), batch.column("pivot").to_numpy()
-        mine, theirs = batch.column("items"), batch.column("pivot_items")
-        yes = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(mine, theirs, strict=True)]
-        yield pa.record_batch([pa.array(ids), pa.array(pivots), pa.array(yes, pa.bool_())], ["a", "b", "linked"])
+        ids, anchors = batch.column("id").to_numpy(), batch.column("anchor").to_numpy()
+        mine, theirs = batch.column("items"), batch.column("anchor_items")
+        yes = np.array([_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(mine, theirs, strict=True)], bool)
+        yield pa.record_batch([pa.array(ids[yes]), pa.array(anchors[yes])], ["a", "b"])
 
 
 def _verify_blocks(table: pa.Table) -> pa.Table:
-    """Links between the residual members of one block and all members of another, as a spanning
-    forest: pairs are tried by falling sketch agreement and skipped once their ends are connected."""
-    ids = table.column("id").to_numpy()
-    side = table.column("side").to_numpy()
+    """Links between the sets of two blocks that share a band, as a spanning forest: pairs are tried by
+    falling sketch agreement and skipped once their ends are connected."""
+    ids, part, side = (table.column(c).to_numpy() for c in ("id", "part", "side"))
     items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items").combine_chunks()]
-    off = np.concatenate([[0], np.cumsum([len(x) for x in items])])
-    sketches = sketch(np.concatenate(items), off)
-    parent = {x: x for x in ids.tolist()}
+    sizes = np.array([len(x) for x in items])
+    sketches = sketch(np.concatenate(items), np.concatenate([[0], np.cumsum(sizes)]))
+    bands = band_keys(sketches)
+    parent = {x: x for x in [*ids.tolist(), *part.tolist()]}
 
     def root(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for x, pivot, core in zip(ids.tolist(), table.column("pivot").to_pylist(), table.column("core").to_pylist(), strict=True):
-        if core:
-            parent.setdefault(pivot, pivot)
-            parent[root(x)] = root(pivot)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    rows, cols, agree = [], [], []
-    for i in left:
-        share = (sketches[right] == sketches[i]).mean(axis=1)
-        near = np.flatnonzero(share >= LEAST_AGREEMENT)
-        rows.append(np.full(len(near), i))
-        cols.append(right[near])
-        agree.append(share[near])
+    for x, y in zip(ids.tolist(), part.tolist(), strict=True):
+        parent[root(x)] = root(y)
+    one_block = len(np.unique(side)) == 1
+    right = np.flatnonzero(side == side.max())
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in np.flatnonzero(side == side.min()):
+        near = right[(right > i) & (part[right] != part[i])] if one_block else right[part[right] != part[i]]
+        near = near[100 * np.minimum(sizes[near], sizes[i]) >= PERCENT * np.maximum(sizes[near], sizes[i])]
+        near = near[(bands[near] == bands[i]).any(axis=1)]
+        if len(near):
+            pairs.append((np.full(len(near), i), near, (sketches[near] == sketches[i]).mean(axis=1)))
     found: list[tuple[int, int]] = []
-    if rows:
-        rows, cols, agree = np.concatenate(rows), np.concatenate(cols), np.concatenate(agree)
-        for k in np.argsort(-agree, kind="stable"):
+    if pairs:
+        rows, cols, agree = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        for k in np.lexsort((ids[cols], ids[rows], -agree)):
             x, y = int(ids[rows[k]]), int(ids[cols[k]])
-            if x != y and (p := root(x)) != (q := root(y)) and _linked(items[rows[k]], items[cols[k]]):
+            if (p := root(x)) != (q := root(y)) and _linked(items[rows[k]], items[cols[k]]):
                 parent[p] = q
                 found.append((x, y))
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
@@ -191,21 +189,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = of_class.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     shared = store.put(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
     in_bucket = store.put(keyed.join(shared, "key"), "members")
-    cluster_of = connected_components(store, in_bucket.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
-    degree = store.put(in_bucket.groupBy("id").agg(F.sum("n").alias("degree")), "degree")
-    placed = store.put(cluster_of.join(degree, cluster_of["node"] == degree["id"]).select("id", F.col("component").alias("cluster"), "degree"), "placed")
-    pivots = store.put(placed.groupBy("cluster").agg(F.max(F.struct("degree", -F.col("id"))).alias("top"), F.count("*").alias("size")).select("cluster", (-F.col("top")["col2"]).alias("pivot"), "size"), "pivots")
-    members = store.put(
-        placed.join(pivots.select("cluster", "pivot"), "cluster").select("id", "cluster", "pivot"), "clustered"
-    )
-    members = store.put(members.join(of_class.select(F.col("rep").alias("id"), "h1", "h2"), "id"), "clustered")
-    # Members grow with the corpus: a merge join at every size, never a broadcast of them.
-    sets = store.put(plain.hint("merge").join(members, "id").mapInArrow(_member_sets, "id long, cluster long, pivot long, n long, items binary").dropDuplicates(["id"]), "sets")
-    centre = sets.where("id = pivot").select(F.col("cluster"), F.col("items").alias("pivot_items"))
-    star = store.put(sets.where("id <> pivot").join(centre, "cluster").select("id", "pivot", "items", "pivot_items").mapInArrow(_verify_star, "a long, b long, linked boolean"), "star")
-    links = star.where("linked").select("a", "b")
-    loose = star.where("NOT linked").select(F.col("a").alias("id"))
-    rest = _residual_links(store, sets, loose, pivots)
+    anchored = store.put(in_bucket.groupBy("id").agg(F.min("least").alias("anchor")).join(of_class.select(F.col("rep").alias("id"), "h1", "h2"), "id"), "anchored")
+    # Sets that share a band grow with the corpus: a merge join at every size, never a broadcast of them.
+    sets = store.put(plain.hint("merge").join(anchored, "id").mapInArrow(_member_sets, "id long, anchor long, n long, items binary").dropDuplicates(["id"]), "sets")
+    anchors = sets.join(sets.where("id <> anchor").select(F.col("anchor").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("anchor"), F.col("items").alias("anchor_items"))
+    links = store.put(sets.where("id <> anchor").join(anchors, "anchor").select("id", "anchor", "items", "anchor_items").mapInArrow(_verify_anchors, "a long, b long"), "links")
+    parts = connected_components(store, links)
+    rest = _links_of_mixed_bands(store, sets, in_bucket, parts)
     found = connected_components(store, links.unionByName(rest))
     final = store.put(
         of_class.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")),
@@ -218,22 +208,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _residual_links(store: Store, sets: DataFrame, loose: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Links of the members that the star left unlinked, compared in blocks with all of their cluster."""
-    loose = store.put(loose, "loose")
-    marked = sets.where("id <> pivot").join(loose.withColumn("is_loose", F.lit(True)), "id", "left").select("id", "cluster", "pivot", "n", "items", F.coalesce("is_loose", F.lit(False)).alias("loose"))
-    marked = store.put(marked, "marked")
-    blocks = marked.groupBy("cluster").agg(
-        F.ceil(F.sum("n") / BLOCK).cast("int").alias("right_blocks"),
-        F.ceil(F.sum(F.when(F.col("loose"), F.col("n"))) / BLOCK).cast("int").alias("left_blocks"),
-    )
-    blocks = store.put(blocks.where("left_blocks IS NOT NULL").join(pivots.where("size > 2").select("cluster"), "cluster", "left_semi"), "blocks")
-    row = marked.join(blocks, "cluster")
-    spot = F.xxhash64("id")
-    left = row.where("loose").select(
-        "id", "cluster", "pivot", "items", F.lit(False).alias("core"), F.lit(0).alias("side"), F.pmod(spot, F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j")
-    )
-    right = row.select(
-        "id", "cluster", "pivot", "items", (~F.col("loose")).alias("core"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), F.pmod(spot, F.col("right_blocks")).cast("int").alias("j")
-    )
-    return store.put(left.unionByName(right).groupBy("cluster", "i", "j").applyInArrow(_verify_blocks, "a long, b long"), "residual")
+def _links_of_mixed_bands(store: Store, sets: DataFrame, in_bucket: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links in the bands whose sets the anchors left in several connected parts."""
+    spot = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    blocks = sets.groupBy("anchor").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    placed = sets.select("id", "anchor").join(blocks, "anchor").select("id", F.xxhash64("anchor", spot).alias("block"))
+    placed = store.put(placed.join(parts, placed["id"] == parts["node"], "left").select("id", "block", F.coalesce("component", "id").alias("part")), "placed")
+    # of each band: its blocks, by the connected parts of their sets
+    held = store.put(in_bucket.select("key", "id").join(placed, "id").groupBy("key", "part", "block").agg(F.count("*").alias("n")), "held")
+    size = held.groupBy("key", "part").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = store.put(held.join(size.select("key", F.col("top")["part"].alias("top")), "key").groupBy("key", "block").agg(F.max(F.col("part") != F.col("top")).alias("outside")), "mixed")
+    other = mixed.select("key", F.col("block").alias("other"))
+    met = mixed.where("outside").join(other, "key").select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
+    met = store.put(met, "met")
+    rows = sets.select("id", "items").join(placed, "id")
+    sides = met.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block")).withColumn("side", (F.col("block") == F.col("high")).cast("int"))
+    return store.put(rows.join(sides, "block").groupBy("low", "high").applyInArrow(_verify_blocks, "a long, b long"), "mixed_links")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from quarry.llm import queries
+from quarry.llm import minhash, queries
 from quarry.llm.decontamination import benchmark_leaks, without_leaks
 from quarry.llm.embedding_dedup import near_duplicate_vectors
 from quarry.llm.minhash import near_duplicates
@@ -108,6 +108,25 @@ def test_minhash_links_a_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == component
 
 
+def test_minhash_verifies_bands_of_unlinked_sets_in_blocks(spark, monkeypatch):
+    """Families of loosely like texts, with near copies inside: bands are mixed and blocks are many."""
+    random = np.random.default_rng(6)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(200)]
+        for i in range(30):
+            own = list(base)
+            for at in random.choice(200, size=int(random.integers(0, 22)), replace=False):
+                own[at] = f"x{family}-{i}-{at}"
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join([*own, f"tail{i}"]))]
+    _, component = brute_near(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (minhash.BLOCK, 900):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in near_duplicates(frame).collect()} == component
+    assert len(set(component.values())) > 8
+
+
 def test_minhash_on_awkward_rows(odd, empty):
     got = near_duplicates(odd).collect()
     assert len(got) == odd.count()
