@@ -1,7 +1,9 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND.
 
-Every passage of every document is a query: windows of twice the longest item's words, in steps of that
-length, so that a copied item lies whole in one window.  Impacts are divided by what an item scores on
+Every passage of every document is a query.  Items of like length (up to the same power of two words) are
+searched together, in windows of twice that length and steps of it, so that a copied item lies whole in
+one window and no item widens the passages of others.  Counts of documents, mean length and inverse
+document frequencies are those of all items, however many indexes they are dealt over.  Impacts are divided by what an item scores on
 itself; a window retrieves all items of at least ``RETRIEVE`` of that.  A window whose rare words
 cannot add up to that is skipped before the search: an item's rarest terms that carry ``ESSENTIAL`` of
 its own score must give at least ``RETRIEVE - (1 - ESSENTIAL)``.  Retrieved items are verified by the
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarry.llm.store import Store
 from quarry.llm.words import LETTERS_DIGITS, byte_runs, row_chunks, shingles, text_buffer
 
 K1, B = 1.2, 0.75
@@ -28,27 +31,54 @@ SHINGLE, OVERLAP = 5, 0.75
 ANSWER_SHARE, ANSWER_OVERLAP = 1 / 3, 0.5
 #: Postings of a block with a maximum of its own.
 BLOCK = 32
-#: Items that are indexed and broadcast at once; more items are searched in further blocks of items.
-MAX_ITEMS = 50_000
+#: Items that are indexed and broadcast at once; further items make further indexes of the same statistics.
+ITEMS_AT_ONCE = 50_000
+
+
+class Statistics:
+    """What BM25 knows of all items: their number, mean length in words, and in how many each word is."""
+
+    def __init__(self, items: int, mean: float, words: np.ndarray, counts: np.ndarray) -> None:
+        self.items, self.mean = items, max(mean, 1.0)
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Statistics:
+        buf, off = text_buffer(pa.array(texts, pa.string()))
+        _, _, words, rows = byte_runs(buf, off, LETTERS_DIGITS)
+        found, counts = _document_counts(words, rows)
+        full = int((np.diff(rows) > 0).sum())
+        return cls(len(texts), len(words) / max(full, 1), found, counts)
+
+    def idf(self, words: np.ndarray) -> np.ndarray:
+        df = self.counts[np.searchsorted(self.words, words)]
+        return np.log1p((self.items - df + 0.5) / (df + 0.5))
+
+
+def _document_counts(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and the number of rows that hold each."""
+    distinct = [np.unique(words[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+    return np.unique(np.concatenate(distinct) if distinct else words, return_counts=True)
 
 
 class ItemIndex:
-    """Inverted index of items: postings by term in item order, with impacts and block maxima."""
+    """Inverted index of items of like length: postings by term in item order, with impacts and block maxima."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
+    def __init__(self, ids: list[int], texts: list[str | None], known: Statistics | None = None) -> None:
+        known = known or Statistics.of(texts)
         buf, off = text_buffer(pa.array(texts, pa.string()))
         _, _, words, rows = byte_runs(buf, off, LETTERS_DIGITS)
         self.ids = np.array(ids, np.int64)
         sizes = np.diff(rows)
-        self.longest = max(int(sizes.max()) if len(sizes) else 0, 1)
+        self.step = 1 << int(max(sizes.max() if len(sizes) else 1, 1) - 1).bit_length()
         item = np.repeat(np.arange(len(ids)), sizes)
         self.vocabulary, term = np.unique(words, return_inverse=True)
         pair, tf = np.unique(term.astype(np.int64) * max(len(ids), 1) + item, return_counts=True)
         term, item = pair // max(len(ids), 1), pair % max(len(ids), 1)
         df = np.bincount(term, minlength=len(self.vocabulary))
-        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-        mean = max(sizes[sizes > 0].mean() if (sizes > 0).any() else 1, 1)
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / mean))
+        idf = known.idf(self.vocabulary)
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / known.mean))
         own = np.bincount(item, impact, len(ids))
         self.impact = impact / own[item]
         self.item = item
@@ -56,7 +86,7 @@ class ItemIndex:
         self.bounds = np.concatenate([[0], np.cumsum(df)])
         self.most = np.maximum.reduceat(self.impact, self.bounds[:-1]) if len(term) else np.zeros(0)
         # the rarest terms of each item up to ESSENTIAL of its score, as postings of their own
-        order = np.lexsort((-self.impact, df[term], item))
+        order = np.lexsort((self.vocabulary[term], -self.impact, -idf[term], item))
         run = np.cumsum(self.impact[order])
         first = np.concatenate([[0], np.cumsum(np.bincount(item, minlength=len(ids)))])[:-1]
         before = run - self.impact[order] - np.concatenate([[0], run])[first[item[order]]]
@@ -168,47 +198,87 @@ class ItemIndex:
         before = alone[cell_row[alone - 1] == cell_row[alone]] - 1
         return np.unique(np.concatenate([pair[reach >= least] // len(self.ids), before]))
 
+    def held(self, words: np.ndarray, rows: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float, float]]:
+        """The three shares and the score of every item (row, item number) that rows of words hold; the
+        passage of the largest shares speaks for a row."""
+        step, best = self.step, {}
+        term = self.terms(words) if len(self.vocabulary) else np.full(len(words), -1)
+        cells = -(-np.diff(rows) // step)
+        first_cell = np.concatenate([[0], np.cumsum(cells)])
+        cell_row = np.repeat(np.arange(len(rows) - 1), cells)
+        start = rows[cell_row] + (np.arange(len(cell_row)) - first_cell[cell_row]) * step
+        end = np.minimum(start + 2 * step, rows[cell_row + 1])
+        for w in self._candidates(term, np.searchsorted(start, np.arange(len(words)), "right") - 1, cell_row):
+            window = words[start[w] : end[w]]
+            own = term[start[w] : end[w]]
+            retrieved = self.search(np.unique(own[own >= 0]))
+            if not retrieved:
+                continue
+            seen, grams = np.unique(window), np.unique(shingles(window, np.array([0, len(window)]), SHINGLE)[0])
+            for i, score in retrieved:
+                shares = self.verified(i, seen, grams)
+                if shares[0] >= OVERLAP and shares[1] >= OVERLAP and shares[2] >= ANSWER_OVERLAP:
+                    key = (int(cell_row[w]), i)
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0, 0.0)), (*shares, score))
+        return best
+
+
+class ItemIndexes:
+    """Indexes of a block of items, one for each class of lengths."""
+
+    def __init__(self, ids: list[int], texts: list[str], known: Statistics | None = None) -> None:
+        known = known or Statistics.of(texts)
+        buf, off = text_buffer(pa.array(texts, pa.string()))
+        sizes = np.diff(byte_runs(buf, off, LETTERS_DIGITS)[3])
+        kind = np.array([max(int(n) - 1, 0).bit_length() for n in sizes])
+        self.indexes = []
+        for k in np.unique(kind[sizes > 0]):
+            own = np.flatnonzero((kind == k) & (sizes > 0))
+            self.indexes.append(ItemIndex([ids[i] for i in own], [texts[i] for i in own], known))
+
     def leaks(self, column: pa.Array) -> Iterator[tuple[int, int, float, float, float, float]]:
-        """Row, item number, score and the three shares of every item that a row holds; the passage of
-        the largest shares speaks for a row."""
+        """Row, item id, score and the three shares of every item that a row holds."""
         buf, off = text_buffer(column)
-        step = self.longest
         for a, b in row_chunks(off):
-            part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
-            _, _, words, rows = byte_runs(part, at, LETTERS_DIGITS)
-            term = self.terms(words) if len(self.vocabulary) else np.full(len(words), -1)
+            _, _, words, rows = byte_runs(buf[off[a] : off[b]], off[a : b + 1] - off[a], LETTERS_DIGITS)
+            found = [(a + r, int(index.ids[i]), score, s, q, x) for index in self.indexes for (r, i), (s, q, x, score) in index.held(words, rows).items()]
+            yield from sorted(found)
+
+
+def _indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[ItemIndexes]:
+    """Indexes of all items with an id and words, a block of about ``ITEMS_AT_ONCE`` at a time.
+
+    The driver holds one block; statistics are gathered over all items first, and a block is given the
+    counts of its own words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            buf, off = text_buffer(batch.column(1))
+            _, _, words, rows = byte_runs(buf, off, LETTERS_DIGITS)
             sizes = np.diff(rows)
-            cells = -(-sizes // step)
-            first_cell = np.concatenate([[0], np.cumsum(cells)])
-            cell_row = np.repeat(np.arange(b - a), cells)
-            start = rows[cell_row] + (np.arange(len(cell_row)) - first_cell[cell_row]) * step
-            end = np.minimum(start + 2 * step, rows[cell_row + 1])
-            best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
-            for w in self._candidates(term, np.searchsorted(start, np.arange(len(words)), "right") - 1, cell_row):
-                window = words[start[w] : end[w]]
-                own = term[start[w] : end[w]]
-                retrieved = self.search(np.unique(own[own >= 0]))
-                if not retrieved:
-                    continue
-                seen, grams = np.unique(window), np.unique(shingles(window, np.array([0, len(window)]), SHINGLE)[0])
-                for i, score in retrieved:
-                    shares = self.verified(i, seen, grams)
-                    if shares[0] >= OVERLAP and shares[1] >= OVERLAP and shares[2] >= ANSWER_OVERLAP:
-                        key = (a + int(cell_row[w]), i)
-                        best[key] = max(best.get(key, (0.0, 0.0, 0.0, 0.0)), (shares[0], shares[1], shares[2], score))
-            for (r, i), (s, q, x, score) in sorted(best.items()):
-                yield r, i, score, s, q, x
-
-
-def _indexes(items: DataFrame, id_col: str, text_col: str) -> list[ItemIndex]:
-    """Indexes of all items with an id and words, in blocks of at most about ``MAX_ITEMS``."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    blocks = -(-rows.count() // MAX_ITEMS)
-    found = []
+            for k in np.unique(block):
+                # of each block: its words, and under no word its items, those of them with words, and all their words
+                own = np.flatnonzero(block == k)
+                found, counts = _document_counts(np.concatenate([words[rows[i] : rows[i + 1]] for i in own]), np.concatenate([[0], np.cumsum(sizes[own])]))
+                n = len(found) + 1
+                totals = ([0] * (n - 1) + [int(x)] for x in (len(own), (sizes[own] > 0).sum(), sizes[own].sum()))
+                yield pa.record_batch([pa.array(np.full(n, k, np.int32)), pa.array([*found.view(np.int64).tolist(), None], pa.int64()), pa.array([*counts.tolist(), 0], pa.int64()), *(pa.array(x, pa.int64()) for x in totals)], ["block", "word", "n", "items", "full", "words"])
+
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
+    blocks = max(1, -(-rows.count() // ITEMS_AT_ONCE))
+    store = Store(items.sparkSession, "items")
+    rows = store.put(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), "items")
+    counted = store.put(rows.select("block", "text").mapInArrow(count, "block int, word long, n long, items long, full long, words long"), "counts")
+    totals = counted.agg(*(F.sum(c) for c in ("items", "full", "words"))).first()
+    if not totals[0]:
+        return
+    of_word = store.put(counted.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "words")
     for k in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).distinct().orderBy("id", "text").toArrow()
-        found.append(ItemIndex(block.column("id").to_pylist(), block.column("text").to_pylist()))
-    return found
+        own = of_word.join(counted.where(F.col("block") == k).select("word"), "word", "left_semi").toArrow()
+        known = Statistics(totals[0], totals[2] / max(totals[1], 1), own.column("word").to_numpy().view(np.uint64), own.column("n").to_numpy())
+        block = rows.where(F.col("block") == k).orderBy("id", "text").toArrow()
+        yield ItemIndexes(block.column("id").to_pylist(), block.column("text").to_pylist(), known)
 
 
 def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -225,11 +295,10 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
-                found = list(index.leaks(batch.column(1)))
+                found = list(shared.value.leaks(batch.column(1)))
                 at, item, score, s, q, x = (list(c) for c in zip(*found, strict=True)) if found else ([],) * 6
-                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(index.ids[np.array(item, np.int64)]), *(pa.array(c, pa.float64()) for c in (score, s, q, x))]
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), *(pa.array(c, pa.float64()) for c in (score, s, q, x))]
                 yield pa.record_batch(columns, [id_col, item_id_col, "score", "overlap", "question_overlap", "answer_overlap"])
 
         part = rows.mapInArrow(search, f"{id_col} long, {item_id_col} long, score double, overlap double, question_overlap double, answer_overlap double")
@@ -238,7 +307,12 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Documents that hold no test item, with all their columns."""
+    """Documents that hold no test item, with all their columns.
+
+    Null and empty texts hold nothing and stay; null, empty and wordless items are in no document; items
+    and texts of any length are read whole; repeated documents stay or go alike; without documents there
+    are no rows, without items all of them; columns of any name are carried along.
+    """
     at = docs.columns.index(text_col)
     schema = StructType(docs.schema.fields)
     for index in _indexes(items, item_id_col, item_text_col):

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from quarry.llm import minhash, queries
+from quarry.llm import decontamination, minhash, queries
 from quarry.llm.decontamination import benchmark_leaks, without_leaks
 from quarry.llm.embedding_dedup import near_duplicate_vectors
 from quarry.llm.minhash import near_duplicates
@@ -460,3 +460,14 @@ def test_suffix_dedup_cuts_rows_of_one_id_alike_in_any_shard(spark):
     rows = [(1, passage)] + [(2, repeated)] * 8 + [(i, made(400)) for i in range(3, 20)]
     found = duplicate_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=700).where("doc_id = 2").collect()
     assert len(found) == 8 and all([(s.start, s.end) for s in r.spans] == [(90, 250)] for r in found)
+
+
+def test_decontamination_is_alike_in_any_number_of_indexes(spark, sf, monkeypatch):
+    """Scores and pairs depend neither on how items are dealt nor on a long item among them."""
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = lambda items: sorted((r.doc_id, r.item_id, round(r.score, 9), r.overlap) for r in benchmark_leaks(docs, items).collect())
+    whole = found(items)
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 3)
+    assert whole and found(items) == whole
+    longer = items.select("item_id", "text").unionByName(spark.createDataFrame([(10**6, " ".join(f"zz{i}" for i in range(3000)))], "item_id long, text string"))
+    assert [r[:2] for r in found(longer)] == [r[:2] for r in whole]
