@@ -20,8 +20,10 @@ from quarry.llm.store import Store
 from quarry.llm.toxicity import labelled_sample
 from quarry.llm.words import LETTERS_DIGITS, WORD_BYTES, byte_runs, row_chunks, text_buffer
 
-#: Labelled rows and preference pairs that are learnt from at most.
-MAX_TRAIN, MAX_PAIRS = 200_000, 400_000
+#: Labelled rows that are learnt from at most, and documents of the other class that each is paired with.
+MAX_TRAIN, PARTNERS = 200_000, 8
+#: Pairs whose differences are held at once.
+_PAIRS = 1 << 16
 THRESHOLD = 0.3
 FEATURES = ("upper", "log_upper", "symbols", "log_symbols", "digits", "word_bytes", "log_words", "distinct", "repeats", "line_repeats", "marked_words", "short")
 _CHUNK = 1 << 20
@@ -81,12 +83,16 @@ def text_features(column: pa.Array) -> np.ndarray:
 
 
 def bradley_terry(x: np.ndarray, preferred: np.ndarray, other: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights w that minimise sum log(1 + exp(-w.(x_i - x_j))) over pairs (i preferred to j)."""
-    d = x[preferred] - x[other]
+    """Weights w that minimise sum log(1 + exp(-w.(x_i - x_j))) + ridge/2 |w|^2 over pairs (i preferred to j)."""
     w = np.zeros(x.shape[1])
     for _ in range(100):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w)), ridge * w - d.T @ p)
+        slope, bend = ridge * w, ridge * np.eye(len(w))
+        for at in range(0, len(preferred), _PAIRS):
+            d = x[preferred[at : at + _PAIRS]] - x[other[at : at + _PAIRS]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            slope -= d.T @ p
+            bend += (d * (p * (1 - p))[:, None]).T @ d
+        step = np.linalg.solve(bend, slope)
         w -= step * min(1, 4 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-9:
             break
@@ -96,7 +102,7 @@ def bradley_terry(x: np.ndarray, preferred: np.ndarray, other: np.ndarray, ridge
 class QualityModel:
     """Strengths and the score that a quantile of them anchors."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = MAX_PAIRS) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, partners: int = PARTNERS) -> None:
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         self.mean, self.scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
         z = (x - self.mean) / self.scale
@@ -104,8 +110,10 @@ class QualityModel:
         self.cut = 0.0
         if len(good) and len(bad):
             random = np.random.default_rng(7)
-            n = min(pairs, len(good) * len(bad))
-            self.weights = bradley_terry(z, random.choice(good, n), random.choice(bad, n))
+            # every labelled document meets as many of the other class, drawn anew for each
+            preferred = np.concatenate([np.repeat(good, partners), random.choice(good, partners * len(bad))])
+            other = np.concatenate([random.choice(bad, partners * len(good)), np.repeat(bad, partners)])
+            self.weights = bradley_terry(z, preferred, other)
             strength = z @ self.weights
             self.cut = float(np.quantile(strength, len(bad) / len(y)))
         elif len(y):
@@ -118,7 +126,11 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, held_out: int = 0, max_train: int = MAX_TRAIN) -> QualityModel:
     """Learn from labelled documents outside the held-out fold (crc32 of the id as text, modulo).
-    With labels of one class alone every score is on that class's side."""
+
+    Null ids and labels teach nothing; null and empty texts count as texts without words; of several labels
+    of one id the largest counts, and repeated rows count each; with labels of one class alone, or none,
+    every score is on that class's side, or at the threshold; other columns are ignored.
+    """
     store = Store(docs.sparkSession, "quality")
     sample = store.put(labelled_sample(labels, id_col, label_col, modulus, held_out, max_train), "sample")
     text = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).alias("text"))

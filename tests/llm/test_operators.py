@@ -17,7 +17,7 @@ from quarry.llm.decontamination import benchmark_leaks, without_leaks
 from quarry.llm.embedding_dedup import near_duplicate_vectors
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.packing import pack, sequences
-from quarry.llm.quality import fit_quality, with_quality
+from quarry.llm.quality import bradley_terry, fit_quality, with_quality
 from quarry.llm.secrets import labelled_findings, secret_findings, train_forest, without_secrets
 from quarry.llm.simple8b import token_file
 from quarry.llm.suffix_dedup import _Shard, duplicate_bytes
@@ -471,3 +471,22 @@ def test_decontamination_is_alike_in_any_number_of_indexes(spark, sf, monkeypatc
     assert whole and found(items) == whole
     longer = items.select("item_id", "text").unionByName(spark.createDataFrame([(10**6, " ".join(f"zz{i}" for i in range(3000)))], "item_id long, text string"))
     assert [r[:2] for r in found(longer)] == [r[:2] for r in whole]
+
+
+def test_bradley_terry_equals_a_plain_fit():
+    """Newton steps over blocks of pairs end where plain gradient descent on the same loss ends."""
+    random = np.random.default_rng(3)
+    x = random.normal(size=(60, 3))
+    strength = x @ np.array([1.0, -2.0, 0.5])
+    a, b = random.integers(0, 60, (2, 500))
+    wins = random.random(500) < 1 / (1 + np.exp(strength[b] - strength[a]))
+    preferred, other = np.where(wins, a, b), np.where(wins, b, a)
+    w = np.zeros(3)
+    for _ in range(20000):
+        d = x[preferred] - x[other]
+        gradient = w - (d / (1 + np.exp(d @ w))[:, None]).sum(0)
+        w -= 0.003 * gradient
+        if np.abs(gradient).max() < 1e-10:
+            break
+    assert np.allclose(bradley_terry(x, preferred, other), w, atol=1e-6)
+    assert np.argmax(np.abs(w)) == 1 and w[0] > 0 > w[1]
