@@ -234,7 +234,7 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def send_hashes(table: pa.Table) -> pa.Table:
         """Least hashes of a shard: a document, the number of strings, and whether it has two documents."""
         shard = _Shard(table)
-        first, _, _ = shard.distinct()
+        _, first = np.unique(shard.own, return_index=True)
         order = np.argsort(shard.least, kind="stable")
         hashes, doc = shard.least[order], shard.doc[order]
         begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
