@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, minhash, queries
+from quarry.llm import decontamination, embedding_dedup, minhash, queries
 from quarry.llm.decontamination import benchmark_leaks, without_leaks
 from quarry.llm.embedding_dedup import near_duplicate_vectors
 from quarry.llm.minhash import near_duplicates
@@ -490,3 +490,24 @@ def test_bradley_terry_equals_a_plain_fit():
             break
     assert np.allclose(bradley_terry(x, preferred, other), w, atol=1e-6)
     assert np.argmax(np.abs(w)) == 1 and w[0] > 0 > w[1]
+
+
+def test_embeddings_in_many_tiles(spark, monkeypatch):
+    """Clusters in tiles of few vectors: far tiles never meet, and links and counts stay as in one tile."""
+    random = np.random.default_rng(12)
+    centres = random.normal(size=(12, 8)) * np.array([6, 4, 3, 1, 1, 1, 1, 1])
+    rows = [(i, [float(v) for v in centres[i % 12] + random.normal(size=8) * (0.3 if i % 5 else 2.0)], i % 2 if i % 12 < 9 else 0) for i in range(700)]
+    rows += [(700 + i, rows[7][1], 1) for i in range(60)]  # more copies of one vector than a tile takes
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    n, component = brute_vectors(rows)
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(frame).collect()} == {i: (n[i], component[i]) for i in n}
+    points = random.normal(size=(400, 7)) / 8
+    points[:200, 0] += 2
+    tree = embedding_dedup.cell_cuts(points, 4)
+    cell = embedding_dedup.cells(points, tree)
+    boxes = [(k, points[cell == k].min(0), points[cell == k].max(0)) for k in np.unique(cell)]
+    a, b = embedding_dedup.near_cells(*(np.array(x) for x in zip(*boxes, strict=True)), 0.93)
+    met = {(boxes[i][0], boxes[j][0]) for i, j in zip(a, b, strict=True)}
+    near = {tuple(sorted((cell[i], cell[j]))) for i in range(400) for j in range(400) if ((points[i] - points[j]) ** 2).sum() <= 0.14}
+    assert near <= met and len(met) < len(boxes) * (len(boxes) + 1) / 2
