@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import dense, fusion, lexical
+from quarry.operators.word_index import WordIndex
 from quarry.plans.registry import query
 from quarry.sources.tables import note_path, table
 
@@ -13,6 +14,10 @@ WORDS = "idiot clown worthless trash"
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 
 
+def _index(spark: SparkSession, sf_dir: str) -> WordIndex:
+    return WordIndex.of_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+
+
 def bm25_sql(words: list[str]) -> str:
     """BM25 over documents for plain words: doc_id, matched, score."""
     tf = ", ".join(f"len(list_filter(toks, lambda t: t = '{w}'))::double AS tf{i}" for i, w in enumerate(words))
@@ -40,14 +45,13 @@ def word_token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(bm25_sql(["idiot", "clown", "worthless", "trash"]) + "SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
 def word_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = lexical.query_terms(WORDS)
-    counts = lexical.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text", terms)
-    return lexical.with_bm25(counts, len(terms)).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+    found = _index(spark, sf_dir).scored(lexical.query_terms(WORDS))
+    return found.select(F.col("id").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(bm25_sql(["the", "idiot"]) + "SELECT doc_id, CASE WHEN matched = 2 THEN 1 ELSE 2 END AS lane_pass, score FROM scored ORDER BY lane_pass, score DESC, doc_id LIMIT 25")
 def word_and_then_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search_words(table(spark, sf_dir, "documents"), "doc_id", "text", "the idiot", 25)
+    return _index(spark, sf_dir).search(lexical.query_terms("the idiot"), 25).withColumnRenamed("id", "doc_id")
 
 
 @query(
@@ -55,7 +59,8 @@ def word_and_then_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the'))::int AS occurrences FROM t WHERE occurrences > 0"""
 )
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search_phrase(table(spark, sf_dir, "documents"), "doc_id", "text", '"of-the"')
+    (parts,) = lexical.query_terms('"of-the"')
+    return _index(spark, sf_dir).phrase(parts).withColumnRenamed("id", "doc_id")
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\w])example(?:[^\w\s]|_)+com([^\w]|$)')")
@@ -73,9 +78,9 @@ SELECTIVE = ["the", "clown", "moron", "of", "stupid", "and", "scum"]
     SELECT tok, df, place FROM (SELECT *, row_number() OVER (ORDER BY df, place) AS nth FROM k WHERE df > 0 AND (rare OR NOT (SELECT bool_or(rare) FROM k))) WHERE nth <= 32"""
 )
 def selective_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    n_docs = docs.agg(F.count("*").alias("n_docs"))
-    return lexical.selective_terms(lexical.token_frequencies(docs, "text"), n_docs, SELECTIVE)
+    index = _index(spark, sf_dir)
+    n_docs = spark.range(1).select(F.lit(index.n_docs).alias("n_docs"))
+    return lexical.selective_terms(index.frequencies(SELECTIVE), n_docs, SELECTIVE)
 
 
 @query(
@@ -85,7 +90,7 @@ def selective_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM c, s WHERE occurrences > 0 ORDER BY score DESC, doc_id LIMIT 20"""
 )
 def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search_substring(table(spark, sf_dir, "documents"), "doc_id", "text", "orthless")
+    return _index(spark, sf_dir).substring("orthless", 20).withColumnRenamed("id", "doc_id")
 
 
 CLAIM_WORDS = ["disgusting", "loser", "moron", "that"]
@@ -111,7 +116,8 @@ def page_idf_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def scoped_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = table(spark, sf_dir, "documents").where((F.col("lang") == "fr") & F.startswith("source", F.lit("src1")))
-    return lexical.search_words(scope, "doc_id", "text", "la de", 20)
+    eligible = scope.select(F.col("doc_id").alias("id"))
+    return _index(spark, sf_dir).search(lexical.query_terms("la de"), 20, eligible).withColumnRenamed("id", "doc_id")
 
 
 DOT = "list_inner_product(a.embedding::double[], b.embedding::double[])"
@@ -167,8 +173,7 @@ def rrf_sql(w: str, v: str) -> str:
 
 
 def _lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs, terms = table(spark, sf_dir, "documents"), lexical.query_terms(WORDS)
-    words = lexical.with_bm25(lexical.term_counts(docs, "doc_id", "text", terms), len(terms)).select("doc_id", "score")
+    words = _index(spark, sf_dir).scored(lexical.query_terms(WORDS)).select(F.col("id").alias("doc_id"), "score")
     vectors = dense.dense_topk(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), _probe(spark, sf_dir), "doc_id", "embedding", 60)
     return words, vectors
 
