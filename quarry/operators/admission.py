@@ -22,6 +22,7 @@ MACHINE_PROMPTS = (
     "# AGENTS.md instructions",
     "Base directory for this skill:",
     "[SYSTEM NOTIFICATION - NOT USER INPUT] This is an automated background-task event",
+    "[Workflow harness \u2014 computed task] The task text below was computed at runtime",
     "You structure one already-extracted statement into fields.",
     "You decide what a statement is, not whether it is true.",
 )

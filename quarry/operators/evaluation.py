@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DEPTH = 8
@@ -36,18 +37,20 @@ def strata(results: DataFrame, columns: list[str], rank: str = "rank") -> DataFr
 def paired_difference(results: DataFrame, key: str, left: str, right: str, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """Mean difference of two systems over the same questions, wins, losses and a bootstrap interval.
 
-    A resample weighs every question by a Poisson(1) count drawn from a hash of seed, resample and
-    question, so that it needs no collected list of questions: each partition sums its own rows.
+    A resample draws as many questions as there are, with replacement.  Only the difference of a drawn
+    question counts, so draws (numbers hashed from seed, resample and draw) fall on the questions in the
+    order of their differences, of which the few distinct ones with their counts are all that is needed.
     """
-    rows = results.select(F.col(key).alias("k"), (F.col(left).cast("double") - F.col(right).cast("double")).alias("d"))
+    rows = results.select((F.col(left).cast("double") - F.col(right).cast("double")).alias("d")).where("d IS NOT NULL")
     plain = rows.agg(F.count("*").alias("questions"), F.round(F.avg("d"), 6).alias("delta"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"))
-    # equal differences share their draws' sums: a question's weight depends on its own hash alone
-    each = rows.select("k", "d", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "k"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, total = F.lit(0), 0.0
-    for n in range(9):
-        total += 0.36787944117144233 / __import__("math").factorial(n)
-        weight = weight + (u > total).cast("int")
-    means = each.select("b", "d", weight.alias("w")).groupBy("b").agg((F.sum(F.col("w") * F.col("d")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
+    kinds = rows.groupBy("d").agg(F.count("*").alias("n"))
+    upto = kinds.select("d", F.sum("n").over(W.orderBy("d").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("upto"))  # one row per distinct difference
+    scale = upto.agg(F.sort_array(F.collect_list(F.struct("upto", "d"))).alias("scale"), F.max("upto").alias("n"))
+    spark = results.sparkSession
+    resample = spark.range(1, resamples + 1, 1, min(resamples, 4 * spark.sparkContext.defaultParallelism)).select(F.col("id").alias("b"))
+    draws = resample.crossJoin(F.broadcast(scale)).where("n > 0").select("b", "n", "scale", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))  # one row of counts
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))), 1, 12), 16, 10).cast("long")
+    drawn = F.get(F.filter("scale", lambda x: x["upto"] > number % F.col("n")), F.lit(0))["d"]
+    means = draws.select("b", drawn.alias("d")).groupBy("b").agg(F.avg("d").alias("m"))
     interval = means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
     return plain.crossJoin(F.broadcast(interval))  # one row each

@@ -58,18 +58,22 @@ def dominant(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def longest_prefix(rows: DataFrame, path_col: str, aliases: DataFrame, at_col: str | None = None) -> DataFrame:
     """Paths renamed by the longest alias that holds them; an alias with ``until`` only holds rows
-    before it.  aliases: old, new, until; the table is small by nature and its size is checked."""
-    n = aliases.count()
-    small = F.broadcast(aliases) if n <= 10_000 else aliases
-    holds = in_scope(F.col(path_col), F.col("old"))
+    before it.  aliases: old, new, until.
+
+    A path is sent once under each of its own folders, so that aliases of any number meet it by equality."""
+    parts = F.split(F.rtrim(F.col(path_col), F.lit("/")), "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    paths = rows.select(path_col, *([at_col] if at_col else [])).where(F.col(path_col).isNotNull()).distinct()
+    named = paths.withColumn("_old", F.explode(folders)).join(aliases.withColumn("_old", F.rtrim("old", F.lit("/"))).where("_old <> ''"), "_old")
+    if at_col:
+        named = named.where(F.col("until").isNull() | F.col(at_col).isNull() | (F.col(at_col) < F.col("until")))
+    best = named.groupBy(*paths.columns).agg(F.max_by(F.struct("_old", "new"), F.length("_old")).alias("_alias"))
+    same = F.col(path_col) == F.col("_path")
+    best = best.withColumnRenamed(path_col, "_path")
     if at_col:
-        holds = holds & (F.col("until").isNull() | (F.col(at_col).isNull()) | (F.col(at_col) < F.col("until")))
-    paths = rows.select(path_col, *([at_col] if at_col else [])).distinct()
-    named = paths.join(small, holds)
-    best = named.groupBy(*paths.columns).agg(F.max_by(F.struct("old", "new"), F.length("old")).alias("_alias"))
-    joined = rows.join(best, paths.columns, "left") if not at_col else rows.join(best, [path_col, at_col], "left")
-    renamed = F.concat(F.col("_alias.new"), F.substr(F.col(path_col), F.length("_alias.old") + 1))
-    return joined.withColumn("renamed", F.coalesce(renamed, F.col(path_col))).drop("_alias")
+        best, same = best.withColumnRenamed(at_col, "_at"), same & F.col(at_col).eqNullSafe(F.col("_at"))
+    renamed = F.concat(F.col("_alias.new"), F.substr(F.col(path_col), F.length("_alias._old") + 1))
+    return rows.join(best, same, "left").withColumn("renamed", F.coalesce(renamed, F.col(path_col))).drop("_alias", "_path", "_at")
 
 
 def first_resolving(links: DataFrame, known: DataFrame, id_col: str, candidates_col: str, key: str) -> DataFrame:

@@ -139,7 +139,15 @@ def claim_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", numeric_signature(F.col("text")).alias("signature"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT doc_id, lang || '/' || (doc_id % 2) AS stratum, sha256('curate-sample:' || doc_id) AS rank FROM documents), n AS (SELECT stratum, count(*) AS n FROM r GROUP BY 1),
+    w AS (SELECT least(120, sum(n))::bigint AS wanted, sum(n)::bigint AS total FROM n), d AS (SELECT stratum, n, least(n, greatest(10, wanted * n // total)) AS due, wanted FROM n, w), g AS (SELECT any_value(wanted) - sum(due) AS gap FROM d),
+    t AS (SELECT stratum, n, unnest(range(1, 1 + CASE WHEN gap > 0 THEN n - due ELSE greatest(due - 10, 0) END)) AS turn FROM d, g),
+    m AS (SELECT stratum, count(*) AS moved FROM (SELECT stratum, row_number() OVER (ORDER BY turn, n DESC, stratum) AS nth FROM t) WHERE nth <= (SELECT abs(gap) FROM g) GROUP BY 1),
+    q AS (SELECT stratum, (due + coalesce(moved, 0) * CASE WHEN (SELECT gap FROM g) > 0 THEN 1 ELSE -1 END)::bigint AS quota, wanted FROM d LEFT JOIN m USING (stratum)),
+    p AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY rank, doc_id) AS nth FROM r)
+    SELECT doc_id, stratum, CASE WHEN nth <= round_even(quota * 100::double / wanted, 0) THEN 'working' ELSE 'holdout' END AS part FROM p JOIN q USING (stratum) WHERE nth <= quota"""
+)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return curation.stratified_sample(docs, "doc_id", F.concat("lang", F.lit("/"), (F.col("doc_id") % 2).cast("string")), 100, 20)
@@ -154,7 +162,16 @@ def time_separated_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.select("candidate_id", curation.time_separated(F.col("first_seen"), F.col("last_seen"), F.lit("2024-06"), F.lit("2024-09")).alias("separated"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+    t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS nth FROM s WHERE score >= 0.4::double), p AS (SELECT least(a, b) AS l, greatest(a, b) AS r, max(score) AS score FROM t WHERE nth <= 5 GROUP BY 1, 2),
+    e AS (SELECT l, r, row_number() OVER (ORDER BY score DESC, l, r) AS nth FROM p), g AS (SELECT list(l || '-' || r) AS given FROM p),
+    f AS (SELECT 0::bigint AS nth, []::bigint[][] AS clusters UNION ALL
+    SELECT nth, CASE WHEN home IS NULL OR home = 0 THEN list_append(clusters, [l, r]) WHEN fits THEN list_transform(clusters, lambda c, i: CASE WHEN i = home THEN list_distinct_in_order(c, fresh) ELSE c END) ELSE clusters END
+    FROM (SELECT *, len(list_filter(here, lambda m: NOT (m = fresh OR list_contains(given, least(m, fresh) || '-' || greatest(m, fresh))))) = 0 AS fits FROM (SELECT *, clusters[home] AS here, CASE WHEN list_contains(clusters[home], l) THEN r ELSE l END AS fresh
+    FROM (SELECT e.nth, l, r, clusters, given, list_position(list_transform(clusters, lambda c: list_contains(c, l) OR list_contains(c, r)), true) AS home FROM f JOIN e ON e.nth = f.nth + 1, g))))
+    SELECT list_min(c) AS cluster, unnest(c) AS member FROM (SELECT unnest(clusters) AS c FROM f ORDER BY nth DESC)""".replace("list_distinct_in_order(c, fresh)", "CASE WHEN list_contains(c, fresh) THEN c ELSE list_append(c, fresh) END").replace("(SELECT unnest(clusters) AS c FROM f ORDER BY nth DESC)", "(SELECT unnest(clusters) AS c FROM f WHERE nth = (SELECT max(nth) FROM f))")
+)
 def equivalence_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = dense.neighbour_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4, 5)
     return curation.equivalence_clusters(pairs, "left_id", "right_id", [-F.col("score"), F.col("left_id"), F.col("right_id")])
@@ -171,7 +188,20 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("event_index"), "role", "text")
 
 
-@query()
+EPISODES_SQL = r"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, (sum((role = 'user')::int) OVER w + (first_value(role) OVER w <> 'user')::int - 1)::int AS block FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT conv_id, block, coalesce(max(CASE WHEN role = 'user' THEN trim(text) END), '') AS text FROM t GROUP BY 1, 2),
+n AS (SELECT conv_id, count(*) AS blocks FROM b GROUP BY 1), c AS (SELECT conv_id, block, word, count(*) AS n FROM (SELECT conv_id, block, unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS word FROM b) GROUP BY 1, 2, 3),
+d AS (SELECT conv_id, word, count(*) AS df FROM c GROUP BY 1, 2), v AS (SELECT c.*, blocks, (ln(blocks::double / (1 + df)) + 1) ** 2 AS weight FROM c JOIN d USING (conv_id, word) JOIN n USING (conv_id)),
+z AS (SELECT v.*, unnest([1, 2, 3, 0, -1, -2]) AS k FROM v), s AS (SELECT conv_id, block + k AS at_, word, sum(CASE WHEN k > 0 THEN n ELSE 0 END)::double AS l, sum(CASE WHEN k > 0 THEN 0 ELSE n END)::double AS r, any_value(weight) AS weight FROM z WHERE block + k > 0 AND block + k < blocks GROUP BY 1, 2, 3),
+x AS (SELECT conv_id, at_, sum(l * r * weight) AS lr, sqrt(sum(l * l * weight)) * sqrt(sum(r * r * weight)) AS norm FROM s GROUP BY 1, 2),
+p AS (SELECT b.conv_id, b.block AS at_, round(1 - coalesce(CASE WHEN norm > 0 THEN lr / norm END, 0), 9) AS depth FROM b LEFT JOIN x ON x.conv_id = b.conv_id AND x.at_ = b.block WHERE b.block > 0),
+m AS (SELECT conv_id, list_sort(list(depth))[len(list(depth)) // 2 + 1] AS median FROM p GROUP BY 1), a AS (SELECT conv_id, any_value(median) AS median, list_sort(list(round(abs(depth - median), 9)))[len(list(depth)) // 2 + 1] AS spread FROM p JOIN m USING (conv_id) GROUP BY 1),
+y AS (SELECT conv_id, at_, depth FROM p JOIN a USING (conv_id) WHERE depth > round(median + spread, 9)),
+cut AS (SELECT conv_id, 0 AS at_ FROM n UNION ALL SELECT conv_id, at_ FROM (SELECT y.conv_id, y.at_, row_number() OVER (PARTITION BY y.conv_id ORDER BY y.at_) AS nth FROM cut JOIN y ON y.conv_id = cut.conv_id AND y.at_ >= cut.at_ + 2) WHERE nth = 1),
+marks AS (SELECT conv_id, at_ FROM cut WHERE at_ > 0 UNION SELECT conv_id, block FROM b WHERE block > 0 AND regexp_matches(text, '(?i)^\s*(?:/clear|/reset|/compact)\b'))"""
+
+
+@query(EPISODES_SQL + " SELECT conv_id AS conversation_id, block, (SELECT count(*) FROM marks WHERE marks.conv_id = b.conv_id AND marks.at_ <= b.block)::int AS episode FROM b")
 def episode_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.episodes(episodes.human_texts(episodes.turn_blocks(_turns(spark, sf_dir))))
 

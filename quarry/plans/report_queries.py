@@ -19,12 +19,12 @@ def _k() -> Column:
 
 
 @query(
-    f"""WITH d AS (SELECT ts::date AS day, count(*) AS records, sum({K_SQL})::bigint AS tokens, round(sum(value), 2) AS amount FROM events WHERE event_type = 'purchase' AND user_id % 9 = 0 GROUP BY 1)
+    f"""WITH d AS (SELECT ts::date AS day, count(*) AS records, sum({K_SQL})::bigint AS tokens, round(sum(value), 2) AS amount FROM events WHERE event_type = 'purchase' GROUP BY 1)
     SELECT r.day::date AS day, coalesce(records, 0) AS records, coalesce(tokens, 0) AS tokens, coalesce(amount, 0) AS amount
     FROM (SELECT unnest(generate_series((SELECT min(day) FROM d)::timestamp, (SELECT max(day) FROM d)::timestamp, INTERVAL 1 day)) AS day) r LEFT JOIN d ON d.day = r.day::date"""
 )
 def daily_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_type = 'purchase' AND user_id % 9 = 0").withColumn("k", _k())
+    rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("k", _k())
     return reports.daily_totals(rows, "ts", {"tokens": F.sum("k"), "amount": F.round(F.sum("value"), 2)})
 
 
@@ -190,7 +190,13 @@ def eval_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.strata(_results(spark, sf_dir), ["quality", "toxic"])
 
 
-@query()
+@query(
+    f"""WITH r AS (SELECT (coalesce(rank <= 8, false)::int - coalesce(other <= 8, false)::int)::double AS d FROM ({RESULTS_SQL})), u AS (SELECT d, sum(count(*)) OVER (ORDER BY d)::bigint AS upto FROM r GROUP BY d), t AS (SELECT count(*) AS n FROM r),
+    draws AS (SELECT b, ('0x' || left(md5('20261021:' || b || ':' || j), 12))::bigint % n AS x FROM t, unnest(range(1, 2001)) AS bs(b), unnest(range(1, n + 1)) AS js(j)),
+    m AS (SELECT b, avg(d) AS m FROM (SELECT b, u.d FROM draws ASOF JOIN (SELECT d, upto - (SELECT count(*) FROM r WHERE r.d = u.d) AS begin FROM u) u ON x >= u.begin) GROUP BY b)
+    SELECT (SELECT count(*) FROM r) AS questions, (SELECT round(avg(d), 6) FROM r) AS delta, (SELECT count(*) FROM r WHERE d > 0) AS wins, (SELECT count(*) FROM r WHERE d < 0) AS losses,
+    round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+)
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _results(spark, sf_dir).select("doc_id", F.coalesce(F.col("rank") <= 8, F.lit(False)).cast("int").alias("a"), F.coalesce(F.col("other") <= 8, F.lit(False)).cast("int").alias("b"))
     return evaluation.paired_difference(hits, "doc_id", "a", "b")
