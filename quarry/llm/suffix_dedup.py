@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.store import Store
 from quarry.llm.suffix import MergedWindows, merge_shards
-from quarry.llm.words import _powers, mix, text_buffer
+from quarry.llm.words import _powers, mix, row_chunks, text_buffer
 
 WIDTH, GRAM = 50, 20
 #: Windows of one sent string at most; strings are at most WIDTH + STRIDE - 1 bytes.
@@ -231,20 +231,29 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the row number only deals rows out, so that no id, copy or null makes a shard large
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
 
-    def send_hashes(table: pa.Table) -> pa.Table:
-        """Least hashes of a shard: a document, the number of strings, and whether it has two documents."""
-        shard = _Shard(table)
-        _, first = np.unique(shard.own, return_index=True)
-        order = np.argsort(shard.least, kind="stable")
-        hashes, doc = shard.least[order], shard.doc[order]
-        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-        low = np.minimum.reduceat(doc, begin) if len(begin) else begin
-        several = low != np.maximum.reduceat(doc, begin) if len(begin) else np.zeros(0, bool)
-        hashes = hashes[begin]
-        strings = np.bincount(np.searchsorted(hashes, shard.least[first]), minlength=len(hashes)).astype(np.int32)
-        return pa.table({"shard": pa.array(np.full(len(hashes), table.column("shard")[0].as_py(), np.int32)), "hash": pa.array(hashes.view(np.int64)), "low": pa.array(low, pa.int64()), "strings": pa.array(np.where(several, -strings, strings), pa.int32())})
-
-    hashes = dealt.groupBy("shard").applyInArrow(send_hashes, "shard int, hash long, low long, strings int")
+    def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Least hashes of the shards that rows belong to: a document, the number of strings, and whether
+        there are two documents."""
+        for batch in batches:
+            _, off = text_buffer(batch.column(1))
+            for a, b in row_chunks(off, shard_bytes):
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                shard, of = _Shard(part), part.column("shard").to_numpy()
+                of = of[shard.row]
+                order = np.lexsort((shard.least, of))
+                hashes, of, doc = shard.least[order], of[order], shard.doc[order]
+                name = mix(shard.own[order] + of.astype(np.uint64))
+                if not len(hashes):
+                    continue
+                begin = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])]))
+                low = np.minimum.reduceat(doc, begin)
+                several = low != np.maximum.reduceat(doc, begin)
+                distinct = np.zeros(len(name), np.int32)
+                distinct[np.unique(name, return_index=True)[1]] = 1
+                strings = np.maximum(np.add.reduceat(distinct, begin), 1).astype(np.int32)
+                yield pa.record_batch([pa.array(of[begin], pa.int32()), pa.array(hashes[begin].view(np.int64)), pa.array(low), pa.array(np.where(several, -strings, strings))], ["shard", "hash", "low", "strings"])
+
+    hashes = dealt.mapInArrow(send_hashes, "shard int, hash long, low long, strings int")
     alike = W.partitionBy("hash")
     of_hash = hashes.select("shard", "hash", F.min("low").over(alike).alias("low"), F.max("low").over(alike).alias("high"), F.min("strings").over(alike).alias("least"), F.sum(F.abs("strings")).over(alike).alias("all"))
     asked = store.put(of_hash.where("least < 0 OR low <> high").select("shard", "hash", F.ceil(F.col("all") / F.lit(split)).cast("int").alias("parts")), "asked")
