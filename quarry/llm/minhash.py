@@ -192,10 +192,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchored = store.put(in_bucket.groupBy("id").agg(F.min("least").alias("anchor")).join(of_class.select(F.col("rep").alias("id"), "h1", "h2"), "id"), "anchored")
     # Sets that share a band grow with the corpus: a merge join at every size, never a broadcast of them.
     sets = store.put(plain.hint("merge").join(anchored, "id").mapInArrow(_member_sets, "id long, anchor long, n long, items binary").dropDuplicates(["id"]), "sets")
-    anchors = sets.join(sets.where("id <> anchor").select(F.col("anchor").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("anchor"), F.col("items").alias("anchor_items"))
-    links = store.put(sets.where("id <> anchor").join(anchors, "anchor").select("id", "anchor", "items", "anchor_items").mapInArrow(_verify_anchors, "a long, b long"), "links")
+    # the sets of an anchor are dealt over blocks, each of which gets a copy of the anchor's own set
+    blocks = store.put(sets.groupBy("anchor").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "blocks")
+    dealt = sets.join(blocks, "anchor").withColumn("block", _spot("id"))
+    copies = blocks.select("anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    anchors = sets.select(F.col("id").alias("anchor"), F.col("items").alias("anchor_items")).join(copies, "anchor")
+    links = store.put(dealt.where("id <> anchor").join(anchors, ["anchor", "block"]).select("id", "anchor", "items", "anchor_items").mapInArrow(_verify_anchors, "a long, b long"), "links")
     parts = connected_components(store, links)
-    rest = _links_of_mixed_bands(store, sets, in_bucket, parts)
+    rest = _links_of_mixed_bands(store, sets, blocks, in_bucket, parts)
     found = connected_components(store, links.unionByName(rest))
     final = store.put(
         of_class.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")),
@@ -208,11 +212,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _links_of_mixed_bands(store: Store, sets: DataFrame, in_bucket: DataFrame, parts: DataFrame) -> DataFrame:
+def _spot(id_col: str) -> F.Column:
+    return F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int")
+
+
+def _links_of_mixed_bands(store: Store, sets: DataFrame, blocks: DataFrame, in_bucket: DataFrame, parts: DataFrame) -> DataFrame:
     """Links in the bands whose sets the anchors left in several connected parts."""
-    spot = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    blocks = sets.groupBy("anchor").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    placed = sets.select("id", "anchor").join(blocks, "anchor").select("id", F.xxhash64("anchor", spot).alias("block"))
+    placed = sets.select("id", "anchor").join(blocks, "anchor").select("id", F.xxhash64("anchor", _spot("id")).alias("block"))
     placed = store.put(placed.join(parts, placed["id"] == parts["node"], "left").select("id", "block", F.coalesce("component", "id").alias("part")), "placed")
     # of each band: its blocks, by the connected parts of their sets
     held = store.put(in_bucket.select("key", "id").join(placed, "id").groupBy("key", "part", "block").agg(F.count("*").alias("n")), "held")
