@@ -23,32 +23,50 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score reaches the threshold go."""
+    """Documents whose toxicity score reaches the threshold go.
+
+    Null and empty texts score as documents without evidence; whole texts of any length are scored;
+    repeated rows stay or go alike; columns of any name stay; an empty table gives an empty one."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = with_toxicity(docs, model, score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    score = "toxicity_score"
+    while score in docs.columns:
+        score += "_"
+    scored = with_toxicity(docs, model, score_col=score)
+    return scored.where(F.col(score) < THRESHOLD).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest id.
 
-    Documents without an id stay; rows that share an id are one document and stay or go together."""
+    Documents without an id stay, and so do null and empty texts, which are linked with nothing; rows that
+    share an id are one document and stay or go together; columns of any name stay; an empty table gives an
+    empty one."""
     gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts stay; whole texts are searched; repeated rows stay or go alike; without items all
+    documents stay; columns of any name stay; an empty table gives an empty one."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are masked."""
+    """All documents stay; secrets in their texts are masked.
+
+    Null and empty texts stay as they are; whole texts are scanned; repeated rows are masked alike; columns
+    of any name stay; an empty table gives an empty one."""
     return without_secrets(docs, train_forest(labelled_findings(spark)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, packed: one row per piece with its ids, sequence and offset."""
+    """Token ids of all documents, packed: one row per piece with its ids, sequence and offset.
+
+    Null and empty texts have the end id alone; texts of any length are cut into windows; repeated rows,
+    rows of one id and rows without an id are packed each; other columns are left behind; an empty table
+    gives no rows."""
     return pack(docs, tokenizer_path(TOKENIZER), END_ID).withColumn("ids_crc32", F.crc32("ids"))
 
 
