@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BEFORE, AFTER = 64, 16
 TREES, DEPTH = 24, 6
 LEAST = 0.5
+#: Labelled findings that the forest learns from at most: those of the least hashes beyond that.
+MAX_FINDINGS = 200_000
 MASK = "[SECRET]"
 
 _NAMES = "token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|credential|bearer"
@@ -162,10 +164,15 @@ def labelled_findings(spark: SparkSession, n: int = 240) -> DataFrame:
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> str:
     """Fit a forest to labelled findings and return its probability as SQL over a feature struct ``f``.
 
-    Findings have ``prior``, ``found``, ``next`` and a ``label`` of 0 or 1; null texts count as empty.
+    Findings have ``prior``, ``found``, ``next`` and a ``label`` of 0 or 1; null texts count as empty;
+    findings without a label or a value teach nothing, repeated ones count each; the order of rows does not
+    matter; without findings the fit fails as there is nothing to learn; other columns are ignored.
     """
     array = "array(struct(coalesce(prior, '') AS prior, coalesce(found, '') AS found, coalesce(next, '') AS next, '' AS gap))"
-    rows = findings.where("label IS NOT NULL AND coalesce(found, '') <> ''").selectExpr("cast(label AS double) AS label", f"{_with_features(array)}[0] AS f").select("label", "f.*").coalesce(1)
+    usable = findings.where("label IS NOT NULL AND coalesce(found, '') <> ''")
+    # at most MAX_FINDINGS rows of one order, so that a fit depends neither on partitions nor on their order
+    bounded = usable.withColumn("_order", F.xxhash64("prior", "found", "next")).orderBy("_order", "prior", "found", "next", "label").limit(MAX_FINDINGS)
+    rows = bounded.coalesce(1).selectExpr("cast(label AS double) AS label", f"{_with_features(array)}[0] AS f").select("label", "f.*")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="6", subsamplingRate=0.8, seed=11).fit(assembled)
     return forest_sql(model)
@@ -220,7 +227,8 @@ def secret_findings(docs: DataFrame, forest: str, id_col: str = "doc_id", text_c
 
 def without_secrets(docs: DataFrame, forest: str, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """All rows and columns of ``docs``, with every secret in the text replaced by ``mask``.
-    Null texts stay null; texts without secrets stay as they are."""
+    Null texts stay null, empty texts and texts without secrets stay as they are; whole texts of any length
+    are scanned; repeated rows are masked alike; an empty table gives no rows."""
     quoted = text_col.replace("`", "``")
     text = f"`{quoted}`"
     decided = _decided(text, forest)

@@ -217,7 +217,10 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
             yield block()
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = keyed.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    # rows of one id, or without any, spread by their texts, and equal ones by their place
+    order = [F.asc_nulls_first("doc_id"), F.col("_text"), F.col("_row")]
+    placed = keyed.withColumn("_text", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ranged.mapInArrow(encode_rows, "shard long, number long, base long, n_ids long, data binary").write.parquet(path)
 
 

@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quarry-shared-')}"
         spark.conf.set(_KEY, found)
     return found.rstrip("/")

@@ -137,8 +137,11 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held_out: int = 2, max_train: int = MAX_TRAIN) -> ToxicityModel:
     """Learn from labelled documents outside the held-out fold (crc32 of the id as text, modulo).
 
-    Counts come from two thirds of the folds that are left, the calibration from the rest.  Without
-    labels of both classes every score is the (smoothed) rate of the labels there are.
+    Counts come from two thirds of the folds that are left, the calibration from the rest.  Null ids and
+    labels teach nothing, null and empty texts are documents without evidence, of several labels of one id
+    the largest counts and repeated rows count each.  Where the calibration lacks a class, ten documents
+    without evidence, one of them toxic, join it: without any labels every score is about 0.1.  Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     store = Store(spark, "toxicity")
@@ -170,7 +173,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     x, y = np.stack([seen.column(f"f{i}").to_numpy() for i in range(4)], 1), seen.column("label").to_numpy()
     order = np.lexsort(np.c_[x, y].T)  # sums must not depend on the order in which rows arrive
     x, y = x[order], y[order]
-    model.weights = logistic(np.r_[x, np.zeros((2, 4))] if len(x) < 2 else x, np.r_[y, 0, 1] if len(x) < 2 else y)
+    if not 0 < y.sum() < len(y):  # nothing to tell classes apart by: ten rows without evidence, one of them toxic
+        x, y = np.r_[x, np.zeros((10, 4))], np.r_[y, np.zeros(9, int), 1]
+    model.weights = logistic(x, y)
     return model
 
 

@@ -147,3 +147,74 @@ def test_added_tokens_in_texts_are_matched_as_by_the_plain_library_call():
         want = [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
         assert [ids[x:y].tolist() for _, _, ids, off in mine.rows(pa.array(texts)) for x, y in zip(off[:-1], off[1:], strict=True)] == want
     assert want[0] == [5334, 49407, 11649]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=12), st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=12), st.text("abcd", min_size=1, max_size=7))
+def test_kneser_ney_equals_plain_recursion(toxic, ordinary, word):
+    """Class models against Kneser-Ney written down directly over tuples of symbols."""
+    from collections import Counter
+
+    from quarry.llm.kneser_ney import ORDER, SHARED, ClassModels, spelt
+
+    def grams(words):
+        out = []
+        for w in words:
+            symbols = [0] * (ORDER - 2) + [1, *w.encode(), 2]
+            out += [tuple(symbols[i - ORDER + 1 : i + 1]) for i in range(ORDER - 1, len(symbols))]
+        return out
+
+    def keys_of(words):
+        data = "".join(words).encode()
+        ends = np.cumsum([len(w) for w in words])
+        return spelt(np.frombuffer(data, np.uint8), ends - [len(w) for w in words], ends)[0]
+
+    tables = [np.unique(keys_of(words), return_counts=True) for words in (ordinary, toxic)]
+    models = ClassModels(tables)
+
+    def level(counts):
+        once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        d = min(0.95, max(0.5, once / (once + 2 * twice))) if once else 0.5
+        totals, kinds = Counter(), Counter()
+        for g, c in counts.items():
+            totals[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        return counts, d, totals, kinds
+
+    def lower_of(counts):
+        return Counter(g[1:] for g in counts)
+
+    def mixed(found, gram, below):
+        counts, d, totals, kinds = found
+        head = gram[:-1]
+        if head not in totals:
+            return below
+        return (max(counts.get(gram, 0) - d, 0) * (gram in counts) + d * kinds[head] * below) / totals[head]
+
+    own, shared = [], {}
+    pooled = dict.fromkeys([*grams(ordinary), *grams(toxic)], 1)
+    for order in range(ORDER - 1, 0, -1):
+        pooled = lower_of(pooled)
+        if order <= SHARED:
+            shared[order] = level(pooled)
+    for words in (ordinary, toxic):
+        counts, levels = Counter(grams(words)), {}
+        levels[ORDER] = level(counts)
+        for order in range(ORDER - 1, SHARED, -1):
+            counts = lower_of(counts)
+            levels[order] = level(counts)
+        own.append(levels)
+
+    want = []
+    for gram in grams([word]):
+        p = 1 / 256
+        for order in range(1, SHARED + 1):
+            p = mixed(shared[order], gram[-order:], p)
+        logs = []
+        for levels in own:
+            q = p
+            for order in range(SHARED + 1, ORDER + 1):
+                q = mixed(levels[order], gram[-order:], q)
+            logs.append(np.log(q))
+        want.append(logs[1] - logs[0])
+    assert np.allclose(models.ratio(keys_of([word])), want)
