@@ -65,3 +65,17 @@ def link_targets(text: Column, most: int = 50) -> Column:
     bare = F.transform(F.slice(raw, 1, most), lambda t: F.try_url_decode(F.regexp_replace(F.regexp_replace(t, r"[|#][\s\S]*$", ""), r"\+", "%2B")))
     plain = F.filter(bare, lambda t: t.isNotNull() & (t != "") & ~t.rlike(r"[:\\]|^/"))
     return F.transform(plain, lambda t: F.when(t.rlike(r"[^/.][^/]*\.[^/.]+$"), t).otherwise(F.concat(t, F.lit(".md"))))
+
+
+#: A session's scratch folder and the encoded path of the folder it ran in.
+SCRATCHPAD = r"^.*/claude-[0-9]+/(-[^/]*)/[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}/scratchpad(?:/.*)?$"
+
+
+def scratchpad_segment(workspace: Column) -> Column:
+    """The encoded folder that a scratch folder belongs to; null for any other path."""
+    return F.nullif(F.regexp_extract(workspace, SCRATCHPAD, 1), F.lit(""))
+
+
+def encoded(path: Column) -> Column:
+    """A path with a hyphen for every character that is no letter or digit."""
+    return F.regexp_replace(path, "[^A-Za-z0-9]", "-")

@@ -27,6 +27,15 @@ MACHINE_PROMPTS = (
     "You decide what a statement is, not whether it is true.",
 )
 OPENING = 240
+#: Temporary folders in which programs of one provider run jobs, not people.
+AUTOMATION_PROVIDER = "codex"
+AUTOMATION_WORKSPACES = (
+    r"^(?:/private)?/var/folders/[^/]+/[^/]+/T/[a-z]+-codex-[^/]+/?$",
+    r"^(?:/private)?/var/folders/[^/]+/[^/]+/T/brain-ingest-[^/]+/[0-9A-HJKMNP-TV-Z]{26}/?$",
+    r"^(?:/private)?/var/folders/[^/]+/[^/]+/T/worker-task-[^/]+/workspace/?$",
+    r"^(?:/private)?/var/folders/[^/]+/[^/]+/T/clips-triage-[A-Za-z0-9]{6}/?$",
+    r"^(?:/private)?/var/folders/[^/]+/[^/]+/T/(?:bench|judge)-[a-z0-9_]{8}/?$",
+)
 RESULT_KINDS = ("tool-result", "tool_result")
 ROLES = ("user", "assistant")
 
@@ -39,6 +48,11 @@ def is_machine_prompt(role: Column, text: Column, prompts: tuple[str, ...] = MAC
     return F.coalesce((role == "user") & known, F.lit(False))
 
 
+def is_automation(provider: Column, workspace: Column, shapes: tuple[str, ...] = AUTOMATION_WORKSPACES) -> Column:
+    """Whether a conversation is a program's own traffic: provider and raw workspace both say so."""
+    return F.coalesce((provider == AUTOMATION_PROVIDER) & workspace.rlike("|".join(shapes)), F.lit(False))
+
+
 def pair_tool_rounds(events: DataFrame, call_pattern: str = RENDERED_CALL, trailing_pattern: str | None = TRAILING_CALLS) -> DataFrame:
     """Events with ``tool_rule``: a rendered call, a user message that answers one, or null.
 

@@ -90,3 +90,30 @@ def rendered(rows: DataFrame, excerpt_col: str, text_col: str) -> DataFrame:
     stamp = F.try_to_timestamp("authored_at")
     status = F.when(F.coalesce("authored_at", F.lit("")) == "", "unknown").when(stamp.isNull(), "invalid").otherwise("known")
     return rows.withColumns({"trust": F.coalesce(trust[F.col("role")], F.lit("unknown")), "date_status": status, "truncated": F.length(excerpt_col) < F.length(text_col)})
+
+
+def selected(candidates: DataFrame, text_col: str, limit: int, max_chars: int) -> DataFrame:
+    """Candidates that make an answer, in order: each text once, a link only if its parent was taken before
+    it, and no more than the limit.
+
+    candidates: id, parent, position and the text.  A candidate depends on those before it, so the few
+    hundred of one answer fold as one row, by the hashes of their texts."""
+    key = F.sha2(question_key(F.col(text_col)), 256)
+    listed = candidates.agg(F.sort_array(F.collect_list(F.struct("position", F.col("id").alias("id"), F.col("parent").alias("parent"), key.alias("key")))).alias("all"))
+    kind = dict(candidates.dtypes)["id"]
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{kind}>").alias("ids"))
+
+    def take(state: Column, row: Column) -> Column:
+        fits = (row["parent"].isNull() | F.array_contains(state["ids"], row["parent"])) & ~F.array_contains(state["seen"], row["key"])
+        return F.when(fits, F.struct(F.concat(state["seen"], F.array(row["key"])).alias("seen"), F.concat(state["ids"], F.array(row["id"])).alias("ids"))).otherwise(state)
+
+    taken = listed.select(F.slice(F.aggregate("all", start, take)["ids"], 1, min(limit, max_chars)).alias("ids"))
+    places = taken.select(F.posexplode("ids").alias("place", "id")).withColumn("place", F.col("place") + 1)
+    return candidates.join(F.broadcast(places), "id")  # an answer's rows
+
+
+def annotated(evidence: DataFrame, supersessions: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Evidence with what replaced it and where it was seen.  supersessions: id, superseded_by, at; hosts:
+    id, hosts; an answer's rows."""
+    marks = supersessions.select("id", "superseded_by", F.col("at").alias("superseded_at"))
+    return evidence.join(marks, "id", "left").join(hosts.select("id", "hosts"), "id", "left")

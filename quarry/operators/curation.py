@@ -117,3 +117,58 @@ def equivalence_clusters(pairs: DataFrame, left: str, right: str, order: list[Co
 
     found = listed.withColumn("given", given).select(F.explode(F.aggregate("pairs", F.array().cast("array<array<bigint>>"), grown)).alias("c"))
     return found.select(F.array_min("c").alias("cluster"), F.explode("c").alias("member"))
+
+
+def retired_claims(claims: DataFrame, retirements: list[tuple[list[str], str]], text_col: str = "text", seen_col: str = "last_seen") -> DataFrame:
+    """Claims with ``retirement``, the first whose term they name and before which they were last seen."""
+    from quarry.operators.context import mentions
+
+    nth = F.lit(None).cast("int")
+    for n, (terms, since) in reversed(list(enumerate(retirements))):
+        nth = F.when(mentions(F.col(text_col), terms) & (F.coalesce(seen_col, F.lit("")) < since), n).otherwise(nth)
+    return claims.withColumn("retirement", nth)
+
+
+def rule_relation(left: Column, right: Column) -> Column:
+    """How two near claims relate by rule: equal but for form, in conflict over numbers or negation, or
+    related.  It stands in for a model behind the same column contract."""
+    from quarry.functions.text import numeric_signature
+
+    same = claim_key(left) == claim_key(right)
+    return F.when(same, "equivalent").when(numeric_signature(left) != numeric_signature(right), "conflicting").otherwise("related")
+
+
+def relations(pairs: DataFrame, claims: DataFrame, budget: int, judge=rule_relation) -> DataFrame:
+    """The nearest pairs within a budget with their ``relation``: a conflict between claims of separate
+    times is a supersession.
+
+    pairs: left_id, right_id, score; claims: id, text, first_seen, last_seen."""
+    nearest = pairs.orderBy(F.desc("score"), "left_id", "right_id").limit(budget)
+    side = lambda name: claims.select(F.col("id").alias(f"{name}_id"), *(F.col(c).alias(f"{name}_{c}") for c in ("text", "first_seen", "last_seen")))
+    rows = nearest.join(side("left"), "left_id").join(side("right"), "right_id")
+    found = rows.withColumn("relation", judge(F.col("left_text"), F.col("right_text")))
+    apart = time_separated(F.col("left_first_seen"), F.col("left_last_seen"), F.col("right_first_seen"), F.col("right_last_seen"))
+    relation = F.when((F.col("relation") == "conflicting") & apart, "superseded").otherwise(F.col("relation"))
+    return found.select("left_id", "right_id", F.round("score", 4).alias("similarity"), relation.alias("relation"))
+
+
+def cluster_summary(clusters: DataFrame, claims: DataFrame) -> DataFrame:
+    """Clusters with their size, first and last day seen and projects.  claims: id, first_seen, last_seen,
+    project."""
+    rows = clusters.join(claims.withColumnRenamed("id", "member"), "member")
+    return rows.groupBy("cluster").agg(F.count("*").alias("members"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_sort(F.collect_set("project")).alias("projects"))
+
+
+def destinations(claims: DataFrame, shortlist: DataFrame, project_pages: DataFrame) -> DataFrame:
+    """Where each claim goes: the best page of its shortlist, else its project's page, else none.
+
+    claims: id, project; shortlist: id, path, score; project_pages: project, path."""
+    best = shortlist.where("score > 0").groupBy("id").agg(F.max(F.struct("score", F.col("path"))).alias("b")).select("id", F.col("b.path").alias("page"))
+    rows = claims.join(best, "id", "left").join(project_pages.withColumnRenamed("path", "_own"), "project", "left")
+    return rows.select("id", F.coalesce("page", "_own").alias("destination"), F.when(F.col("page").isNotNull(), "shortlist").when(F.col("_own").isNotNull(), "project").otherwise("none").alias("why"))
+
+
+def review_sheet(placed: DataFrame) -> DataFrame:
+    """Lines of a review: pages by number of claims, each with its claims.  placed: page, id, text."""
+    size = placed.groupBy("page").agg(F.count("*").alias("claims"))
+    return placed.join(size, "page").withColumn("line", F.row_number().over(W.orderBy(F.desc("claims"), "page", "id")))

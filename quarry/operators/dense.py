@@ -109,3 +109,8 @@ def embed(records: DataFrame, id_col: str, text_col: str, embedder=None) -> Data
     """Vectors of records by an Arrow embedder (id, text) -> (id, vector)."""
     kind = dict(records.dtypes)[id_col]
     return records.select(id_col, text_col).mapInArrow(embedder or hashed_embedder(), f"{id_col} {kind}, vector array<float>")
+
+
+def presence(vectors: DataFrame, scope_col: str, vector_col: str, scopes: list) -> DataFrame:
+    """Scopes that have vectors, with their number; partial counts are all that is exchanged."""
+    return vectors.where(F.col(scope_col).isin(*scopes) & F.col(vector_col).isNotNull()).groupBy(scope_col).agg(F.count("*").alias("vectors"))

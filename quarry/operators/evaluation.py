@@ -54,3 +54,15 @@ def paired_difference(results: DataFrame, key: str, left: str, right: str, resam
     means = draws.select("b", drawn.alias("d")).groupBy("b").agg(F.avg("d").alias("m"))
     interval = means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
     return plain.crossJoin(F.broadcast(interval))  # one row each
+
+
+def first_hits(questions: DataFrame, answers: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The rank, among an answer's distinct sources, of the first source that a question accepts; null
+    beyond ``depth``.
+
+    questions: question, accepted (array of sources); answers: question, position, source."""
+    seen = answers.groupBy("question", "source").agg(F.min("position").alias("position"))
+    ranked = seen.withColumn("rank", F.row_number().over(W.partitionBy("question").orderBy("position", "source"))).where(F.col("rank") <= depth)
+    wanted = questions.select("question", F.explode(F.array_distinct("accepted")).alias("source"))
+    hits = ranked.join(wanted, ["question", "source"]).groupBy("question").agg(F.min("rank").alias("rank"))
+    return questions.select("question").join(hits, "question", "left")

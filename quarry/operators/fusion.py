@@ -73,3 +73,20 @@ def page_shortlist(lanes: list[DataFrame], folders: list[str], limit: int = 5, d
         union = union.unionByName(part)
     fused = union.groupBy("path").agg(F.round(F.sum(F.lit(1.0) / (F.lit(K) + F.col("rank"))), 6).alias("score"))
     return fused.orderBy(F.desc("score"), "path").limit(limit)
+
+
+def with_links(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates in their order, every note followed by its links.
+
+    candidates: population, id, position; links: parent, id, ordinal.  Rows of one answer."""
+    own = candidates.select("population", "id", F.lit(None).cast("long").alias("parent"), "position", F.lit(-1).alias("ordinal"))
+    notes = candidates.where("population <> 'history'").select(F.col("id").alias("parent"), "position")
+    followed = links.join(notes, "parent").select(F.lit("link").alias("population"), "id", "parent", "position", F.col("ordinal").cast("int").alias("ordinal"))
+    both = own.unionByName(followed)
+    return both.withColumn("place", F.row_number().over(W.orderBy("position", "ordinal", "id"))).drop("position", "ordinal")
+
+
+def scored_within(fused: DataFrame, scored_order: Column, budget: int) -> DataFrame:
+    """The rows that a shared budget scores: both populations in turn, best first.  fused: population, id, rank."""
+    turn = F.when(F.col("population") == "history", 0).otherwise(1)
+    return fused.withColumn("turn", F.row_number().over(W.orderBy("rank", turn, "id"))).where(F.col("turn") <= budget).withColumn("score", scored_order)

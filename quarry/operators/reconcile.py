@@ -106,3 +106,33 @@ def first_writer_wins(stored: DataFrame, arriving: DataFrame, key: str, order: s
 
     fresh = arriving.join(stored.select(key), key, "left_anti")
     return fresh.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_nth = 1").drop("_nth")
+
+
+def decoded_segments(segments: DataFrame, folders: DataFrame, segment: str, folder: str, home: str) -> DataFrame:
+    """Segments with the one known folder below home that encodes to them; null if none or several do.
+
+    Folders are a table, so that the answer depends on no machine's disk."""
+    from quarry.functions.paths import encoded
+
+    inside = folders.where(in_scope(F.col(folder), home)).select(encoded(F.col(folder)).alias(segment), F.col(folder).alias("_folder")).distinct()
+    single = inside.groupBy(segment).agg(F.count("*").alias("_n"), F.min("_folder").alias("folder")).where("_n = 1").drop("_n")
+    return segments.join(single, segment, "left")
+
+
+def project_roots(paths: DataFrame, roots: DataFrame, path_col: str, home: str) -> DataFrame:
+    """The nearest folder at or above each path that is a repository, in canonical form and without a
+    worktree's own part; null if there is none.  A path meets roots by equality of its folders."""
+    from quarry.functions.paths import WORKTREES, canonical
+
+    parts = F.split(F.rtrim(F.col(path_col), F.lit("/")), "/")
+    each = paths.select(path_col).distinct().select(path_col, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("root"))
+    near = each.join(roots.select("root").distinct(), "root").groupBy(path_col).agg(F.max_by("root", F.length("root")).alias("_root"))
+    bare = F.regexp_replace(canonical(F.col("_root"), home), rf"/{WORKTREES.replace('.', '[.]')}(?:/.*)?$", "")
+    return paths.join(near.select(path_col, bare.alias("project_root")), path_col, "left")
+
+
+def metadata_upserts(stored: DataFrame, arriving: DataFrame, key: str, value: str) -> DataFrame:
+    """What a metadata table has to do per key: ``write`` what differs, ``delete`` what has become unknown."""
+    both = arriving.select(key, F.col(value).alias("_new")).join(stored.select(key, F.col(value).alias("_old")), key, "left")
+    action = F.when(F.col("_new").isNull(), F.when(F.col("_old").isNotNull(), "delete")).when(~F.col("_new").eqNullSafe(F.col("_old")), "write")
+    return both.select(key, action.alias("action")).where("action IS NOT NULL")

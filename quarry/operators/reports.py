@@ -88,3 +88,29 @@ def finding(check: str, measure: DataFrame, value: str, warn: float, broken: flo
     """One health finding from a one-row measure: ok, warn or broken by its value."""
     severity = F.when(F.col(value) > broken, "broken").when(F.col(value) > warn, "warn").otherwise("ok")
     return measure.select(F.lit(check).alias("check"), severity.alias("severity"), F.round(F.col(value).cast("double"), 6).alias("value"))
+
+
+#: Lines of a pass that is running.
+DONE_LINE = r"^\s+\[\d+/(\d+)\] \S+ \+(\d+) \(skipped \d+\)$"
+FAILED_LINE = r"^\s+\[\d+/(\d+)\] \S+ FAILED: "
+WALL_LINE = r"^\s+\[\d+/\d+\] (quota wall|queue full)"
+
+
+def pass_progress(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:
+    """Counts of each pass from the lines it has printed, never their texts: the latest total, finished and
+    failed conversations, records made, and whether it met a wall."""
+    done, failed = F.col(line).rlike(DONE_LINE), F.col(line).rlike(FAILED_LINE)
+    number = lambda shape, n: F.regexp_extract(line, shape, n).cast("long")
+    total = F.when(done, number(DONE_LINE, 1)).when(failed, number(FAILED_LINE, 1))
+    last = F.max(F.when(total.isNotNull(), F.struct(F.col(order).alias("at"), total.alias("total"))))
+    return lines.groupBy(key).agg(F.coalesce(last["total"], F.lit(0)).alias("conversations"), F.count_if(done).alias("finished"), F.count_if(failed).alias("failed"), F.coalesce(F.sum(F.when(done, number(DONE_LINE, 2))), F.lit(0)).alias("synthesized"), F.max(F.col(line).rlike(WALL_LINE)).alias("walled"))
+
+
+def ranked_with_ties(rows: DataFrame, score: str, id_col: str, limit: int) -> DataFrame:
+    """The best rows and all that tie with the last of them, in order.  The cutoff is the score of the last
+    of the top rows, so only rows at or above it are ranked."""
+    from pyspark.sql import Window as W
+
+    cutoff = rows.orderBy(F.desc(score)).limit(limit).agg(F.min(score).alias("_cut"), F.count("*").alias("_n"))
+    kept = rows.crossJoin(F.broadcast(cutoff)).where(F.col(score) >= F.col("_cut")).drop("_cut", "_n")  # one row
+    return kept.withColumn("position", F.row_number().over(W.orderBy(F.desc(score), id_col)))
