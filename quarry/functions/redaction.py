@@ -43,9 +43,14 @@ CUT_OFF_KEY = r"(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----)\s*(?:[A-Za-z0-9+/=]{16,}
 #: Names whose values are secrets, and values that are none: code, paths, names, placeholders.
 SECRET_NAMES = r"(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|auth[_-]?token|token|passw(?:or)?d|passwd|pwd)"
 ASSIGNED = rf"(?i)\b([A-Z0-9_-]*{SECRET_NAMES})(\s*[:=]\s*)([\x22'`]?)(?!\[REDACTED)(?![A-Za-z_.]+\(|[~./][\w./-]*/|\$\{{?[A-Z_]+\}}?|(?:null|none|true|false|undefined)\b)([^\s\x22'`,;]{{8,}})\3"
+#: A value that is worth hiding: not redacted yet, and no code, path, variable or placeholder.
+_VETO = r"(?!\[REDACTED)(?![A-Za-z_.]+\(|[~./][\w./-]*/|\$\{?[A-Z_]+\}?|(?:null|none|true|false|undefined)\b)"
+#: A row of a Markdown table that names a secret beside its value, and a value told in a sentence.
+TABLE_ROW = rf"(?im)^([ \t]*\|[ \t]*[`*]*[\w -]*{SECRET_NAMES}[\w -]*[`*]*:?[ \t]*\|[ \t]*)([`]?){_VETO}([^\s|`]{{8,}})\2(?=[ \t]*\|)"
+TOLD = rf"(?i)\b({SECRET_NAMES})(\s+(?:is|es|was|era)\s*:?\s+)([\x22'`]){_VETO}([^\s\x22'`]{{8,}})\3"
 #: What at least one shape above needs.
 ANY_SHAPE = (
-    r"(?i)PRIVATE KEY|Bearer\s|://|key\x22?\x27?\s*[:=]|secret\x22?\x27?\s*[:=]|token\x22?\x27?\s*[:=]|passw|pwd|AKIA|ASIA[A-Z0-9]{16}|gh[oprsu]_|sk-|xox[baprs]-|LS0tLS1CRUdJT|[sr]k_(?:test|live|prod)_|AIza|SG\.\w"
+    r"(?i)PRIVATE KEY|Bearer\s|://|key[\x22\x27`*]*\s*[:=|]|secret[\x22\x27`*]*\s*[:=|]|token[\x22\x27`*]*\s*[:=|]|(?:key|secret|token)\s+(?:is|es|was|era)\b|passw|pwd|AKIA|ASIA[A-Z0-9]{16}|gh[oprsu]_|sk-|xox[baprs]-|LS0tLS1CRUdJT|[sr]k_(?:test|live|prod)_|AIza|SG\.\w"
     r"|pplx-|pat[A-Za-z0-9]{14}\.|AGE-SECRET|ey[A-Za-z0-9]{17,}\.ey|sgp_|sl\.[A-Za-z0-9=_-]{20}|github_pat|glpat-|npm_|hf_|do[opr]_v1_|shp(?:at|ca|pa|ss)_|lin_api_|pypi-|PMAK-|[0-9]:AA"
 )
 
@@ -57,7 +62,9 @@ def redacted(text: Column) -> Column:
     whole = text
     text = F.regexp_replace(text, PRIVATE_KEY, "[REDACTED:private-key]")
     text = F.regexp_replace(text, CUT_OFF_KEY, "$1[REDACTED:private-key]")
+    text = F.regexp_replace(text, TABLE_ROW, "$1$2[REDACTED:secret]$2")
     text = F.regexp_replace(text, ASSIGNED, "$1$2$3[REDACTED:secret]$3")
+    text = F.regexp_replace(text, TOLD, "$1$2$3[REDACTED:secret]$3")
     for shape, mark in TOKEN_SHAPES + VENDOR_SHAPES:
         text = F.regexp_replace(text, shape, mark)
     return F.when(whole.rlike(ANY_SHAPE), text).otherwise(whole)

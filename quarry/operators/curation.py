@@ -34,6 +34,24 @@ def debris_reason(text: Column) -> Column:
     return out
 
 
+#: A line of each kind of debris, and one of knowledge, by which a rule set can be checked.
+EXAMPLES = (
+    ("the copied files are now in /private/tmp/work and can be read there", "scratch_path"),
+    ("the job wrote its table into results.output for the next reader to take", "scratch_path"),
+    ("the command runs as background task 12 until the build has finished", "task_handle"),
+    ("the structured output was provided and the caller has taken it as it is", "empty_acknowledgement"),
+    ("there is nothing durable in this session that a later one could use", "empty_acknowledgement"),
+    ("the session cwd was the folder of the importer while the build went on", "session_mechanics"),
+    ("the shell working directory was reset before the second command had run", "session_mechanics"),
+    ("the project path: /home/user/projects/importer-of-statements-and-bills", "context_restatement"),
+    ("updated `src/importer/statements/reader_of_monthly_statements.py`", "file_touched"),
+    ("errors: 0, warnings: 0, skipped: 0, retried: 0, and so the run is over", "empty_metric"),
+    ("the runbook of the importer is located at docs/importer/runbook-2024.md", "path_pointer"),
+    ("too short to tell", "too_short"),
+    ("the importer rejects statements whose totals differ by more than a cent", None),
+)
+
+
 def distinct_claims(facts: DataFrame) -> DataFrame:
     """Facts that may be knowledge, by their comparison form: the longest phrasing (the first of equal
     ones), first and last day seen, episodes.  Columns: text, ord, seen, episode."""

@@ -190,6 +190,18 @@ def adaptive_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.adaptive(words, vectors, "doc_id", 20, 0.5)
 
 
+@query(
+    bm25_sql(["idiot", "clown", "worthless", "trash"])
+    + f""", lex AS (SELECT doc_id, round(score, 9) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 20), den AS (SELECT b.vec_id AS doc_id, round({DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, b.vec_id LIMIT 20)
+    SELECT doc_id, score, 'lexical' AS via FROM lex UNION ALL SELECT doc_id, score, 'dense' FROM den"""
+)
+def single_lane_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer where only one lane has hits, for each lane."""
+    words, vectors = _lanes(spark, sf_dir)
+    nothing = words.where("doc_id < -1")
+    return fusion.adaptive(words, nothing, "doc_id", 20).unionByName(fusion.adaptive(nothing, vectors, "doc_id", 20))
+
+
 POPULATIONS = (
     FUSED
     + """, pops AS (SELECT 'history' AS population, doc_id AS id, rank FROM lane_a WHERE rank <= 12 UNION ALL SELECT 'note', doc_id, rank FROM lane_b WHERE rank <= 10),

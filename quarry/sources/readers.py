@@ -54,13 +54,13 @@ def archive_events(conversations: DataFrame) -> DataFrame:
 
 def notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Markdown files below a folder, by relative path, with their text and content hash; hidden
-    folders, ``node_modules`` and the named ones stay out."""
+    folders, ``node_modules`` and the named ones stay out, in order of their paths."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     relative = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     base = "/" + root.split("://")[-1].strip("/") + "/"
     rows = files.select(F.substring_index(relative, base, -1).alias("path"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
-    return rows.where(~F.exists(folders, lambda f: F.startswith(f, F.lit(".")) | f.isin("node_modules", *exclude)))
+    return rows.where(~F.exists(folders, lambda f: F.startswith(f, F.lit(".")) | f.isin("node_modules", *exclude))).orderBy("path")
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
@@ -82,7 +82,8 @@ def query_log(spark: SparkSession, root: str, days: int, today: date) -> DataFra
     there = [p for p in named if fs.exists(path(p))]
     if not there:
         return spark.createDataFrame([], QUERY_EVENT)
-    return spark.read.schema(QUERY_EVENT).option("mode", "DROPMALFORMED").json(there)
+    rows = spark.read.schema(QUERY_EVENT).option("mode", "DROPMALFORMED").json(there)
+    return rows.orderBy(F.col("_metadata.file_name"), "ts")  # a log's few days, oldest first
 
 
 def ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -93,6 +94,55 @@ def ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def log_tail(spark: SparkSession, path: str, most: int = 256 * 1024) -> list[str]:
+    """The last whole lines of a log within a number of bytes; a first line that is cut is left out.
+
+    Only these bytes are read, by the driver, as they are few by definition."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    size = fs.getFileStatus(place).getLen()
+    start = max(0, size - most)
+    stream = fs.open(place)
+    try:
+        stream.seek(start)
+        data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size - start)))
+        cut = start > 0
+        if cut:
+            stream.seek(start - 1)
+            cut = stream.read() != 10
+    finally:
+        stream.close()
+    lines = data.decode("utf-8", "replace").splitlines()
+    return lines[1:] if cut else lines
+
+
+def newest_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """Stubs of an archive's conversations, newest first: id, source, workspace and the time of the last
+    change.  The texts are never parsed; ``conversation_bodies`` fetches those of chosen stubs."""
+    stub = T.StructType([f for f in CONVERSATION.fields if f.name in ("kind", "id", "source", "workspace", "startedAt", "updatedAt")])
+    rows = spark.read.schema(stub).json(path).where("kind IS NULL AND id IS NOT NULL")
+    return rows.select("id", "source", "workspace", F.coalesce("updatedAt", "startedAt").alias("changed")).orderBy(F.desc_nulls_last("changed"), "id")
+
+
+def conversation_bodies(spark: SparkSession, path: str, stubs: DataFrame) -> DataFrame:
+    """Whole conversations of chosen stubs."""
+    return archive(spark, path).join(stubs.select("id"), "id", "left_semi")
+
+
+def semantic_snapshot(records: DataFrame, vectors: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """Notes and syntheses with a vector of length one whose texts redaction leaves alone; equal texts share
+    the vector of the smallest id.  records: record_id, role, text; vectors: record_id, vector."""
+    from quarry.functions.redaction import redacted
+
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    rows = records.where(F.col("role").isin("note", "synthesis") & (redacted(F.col("text")) == F.col("text"))).join(vectors, "record_id").where(F.abs(norm - 1) <= tolerance)
+    key = F.sha2("text", 256)
+    first = rows.groupBy(key.alias("_key")).agg(F.min_by("vector", "record_id").alias("vector"))
+    return rows.drop("vector").withColumn("_key", key).join(first, "_key").drop("_key")
+
+
 PASS_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) pass (start|done): (\S+?)(?: exit (\d+);)?(?: .*)?$"
 
 

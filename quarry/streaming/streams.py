@@ -13,12 +13,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quarry.sources.shared import shared_dir
 
 
-def event_stream(spark: SparkSession, path: str, late: str = "2 days") -> DataFrame:
-    """A table's files as a stream with a watermark on ``ts``."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    # as a pattern of one name: a stream takes a single file only through a pattern
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/[{name[0]}]{name[1:]}")
+def event_stream(spark: SparkSession, path: str, late: str = "2 days", batches: int = 4) -> DataFrame:
+    """A table as a stream with a watermark on ``ts``: its rows arrive in order of time, in batches.
+
+    The table is first written as that many files, each of one span of time, in the shared folder, and every
+    batch takes one, so that state is carried from batch to batch."""
+    root = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    table = spark.read.parquet(path)
+    days = table.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    if days["a"] is not None:
+        width = max((days["b"] - days["a"]).total_seconds() / batches, 1.0)
+        since = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.lit(days["a"]).cast("timestamp")) / 1e6
+        span = F.least(F.lit(batches - 1), F.floor(since / width)).cast("int")
+        for n in range(batches):  # one after the other, as files arrive
+            table.where(span == n).coalesce(1).write.parquet(f"{root}/part={n}")
+    rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(root)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 

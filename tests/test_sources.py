@@ -79,3 +79,84 @@ def test_engine(spark):
 def test_stream_is_exactly_the_batch(spark, sf):
     events = streams.event_stream(spark, f"{sf}/events.parquet")
     assert streams.run_available(spark, streams.tumbling(events)).agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_swaps_recover(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame = lambda rows: spark.createDataFrame(rows, "k int, d string, g string, v string")
+    frame([(1, "a", "p", "old")]).write.parquet(f"{path}.swap-x.old")
+    assert writers.recover(spark, path) == "undone" and spark.read.parquet(path).first().v == "old"
+    frame([(1, "a", "p", "new")]).write.parquet(f"{tmp_path}/u.swap-x.new")
+    frame([(1, "a", "p", "old")]).write.parquet(f"{tmp_path}/u.swap-x.old")
+    assert writers.recover(spark, f"{tmp_path}/u") == "finished" and spark.read.parquet(f"{tmp_path}/u").first().v == "new"
+    assert writers.recover(spark, path) is None and not list(tmp_path.glob("*.swap-*"))
+    before = sorted(p.name for p in (tmp_path / "t").glob("part-*"))
+    actions = writers.replace_by_key(path, frame([(1, "a", "p", "same")]), "k", "d", "g")
+    assert [r.action for r in actions.collect()] == ["unchanged"] and sorted(p.name for p in (tmp_path / "t").glob("part-*")) == before
+
+
+def test_published_documents_and_metadata(spark, tmp_path):
+    for n in (1, 2):
+        writers.publish_json(spark, str(tmp_path / "status.json"), {"n": n, "é": "x"})
+        assert json.loads((tmp_path / "status.json").read_text()) == {"n": n, "é": "x"}
+    path = str(tmp_path / "m")
+    meta = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    meta([(1, "a"), (2, "b"), (3, "c")]).write.parquet(path)
+    writers.write_metadata(path, meta([(1, "a"), (2, "x"), (3, None), (4, "d"), (5, None)]), "k", "v")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "x"), (4, "d")]
+
+
+def test_claims_and_vectors_resume(spark, tmp_path):
+    path = str(tmp_path / "claims")
+    claims = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    writers.append_claims(path, claims.where("id = 'a'"), "id")
+    (tmp_path / "claims/torn.json").write_text('{"id": "b", "n"')
+    writers.append_claims(path, claims, "id")
+    assert sorted(r.id for r in writers.done_keys(spark, path, "id").collect()) == ["a", "b"]
+    texts = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    embed = lambda rows: rows.selectExpr("id", "array(1f, 0f) AS vector")
+    assert [writers.resume_vectors(str(tmp_path / "v"), t, "id", embed) for t in (texts.limit(1), texts, texts)] == [1, 1, 0]
+    vectors = spark.read.parquet(str(tmp_path / "v"))
+    writers.save_vectors(str(tmp_path / "m"), vectors, "g1")
+    assert writers.load_vectors(spark, str(tmp_path / "m"), "g1").count() == 2
+    assert writers.load_vectors(spark, str(tmp_path / "m"), "g2") is None and writers.load_vectors(spark, str(tmp_path / "none"), "g1") is None
+    texts.write.parquet(str(tmp_path / "bad"))
+    assert writers.load_vectors(spark, str(tmp_path / "bad"), "g1") is None
+
+
+def test_tails_stubs_and_snapshots(spark, tmp_path):
+    (tmp_path / "log").write_text("first line\nsecond\nthird é\n")
+    assert readers.log_tail(spark, str(tmp_path / "log"), 12) == ["third é"]
+    assert readers.log_tail(spark, str(tmp_path / "log"), 16) == ["second", "third é"]
+    assert readers.log_tail(spark, str(tmp_path / "log")) == ["first line", "second", "third é"] and readers.log_tail(spark, str(tmp_path / "none")) == []
+    lines = [{"kind": "manifest"}] + [{"id": f"c{i}", "source": "x", "startedAt": f"2026-01-0{i}", "updatedAt": u, "events": [], "provenance": {"contentSha256": "s"}} for i, u in ((1, "2026-02-01"), (2, None), (3, None))]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    stubs = readers.newest_conversations(spark, str(tmp_path / "a.jsonl"))
+    assert [r.id for r in stubs.collect()] == ["c1", "c3", "c2"]
+    assert [r.id for r in readers.conversation_bodies(spark, str(tmp_path / "a.jsonl"), stubs.limit(1)).collect()] == ["c1"]
+    records = spark.createDataFrame([("1", "note", "same"), ("2", "synthesis", "same"), ("3", "note", "password: hunter2hunter2"), ("4", "user", "x"), ("5", "note", "long")], "record_id string, role string, text string")
+    vectors = spark.createDataFrame([("1", [0.6, 0.8]), ("2", [1.0, 0.0]), ("3", [1.0, 0.0]), ("4", [1.0, 0.0]), ("5", [2.0, 0.0])], "record_id string, vector array<float>")
+    found = readers.semantic_snapshot(records, vectors).collect()
+    assert sorted((r.record_id, round(r.vector[0], 3)) for r in found) == [("1", 0.6), ("2", 0.6)]
+
+
+def test_late_rows_and_batches(spark, tmp_path):
+    """Rows behind the watermark are left out, state goes from batch to batch, and ingest takes files once."""
+    schema = "ts timestamp, event_type string, user_id long, value double"
+    root = tmp_path / "in"
+    for n, days in enumerate(([10, 11], [12], [1, 12], [20])):
+        rows = [(datetime(2026, 1, d, 12), "x", 7, 1.0) for d in days]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/part={n}")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(root)).withWatermark("ts", "2 days")
+    windows = streams.run_available(spark, streams.tumbling(stream()), "append").collect()
+    assert sorted((r.start.day, r.n) for r in windows) == [(10, 1), (11, 1), (12, 2)]
+    totals = streams.run_available(spark, streams.running_totals(stream()), "update").collect()
+    assert sorted(r.n for r in totals) == [2, 3, 5, 6]
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    take = lambda batch: batch.write.mode("append").parquet(out)
+    for _ in range(2):
+        streams.ingest_stream(stream(), take, mark).awaitTermination()
+        assert spark.read.parquet(out).count() == 6
+    spark.createDataFrame([(datetime(2026, 1, 21), "x", 8, 1.0)], schema).coalesce(1).write.parquet(f"{root}/part=9")
+    streams.ingest_stream(stream(), take, mark).awaitTermination()
+    assert spark.read.parquet(out).count() == 7
