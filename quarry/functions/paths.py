@@ -79,3 +79,27 @@ def scratchpad_segment(workspace: Column) -> Column:
 def encoded(path: Column) -> Column:
     """A path with a hyphen for every character that is no letter or digit."""
     return F.regexp_replace(path, "[^A-Za-z0-9]", "-")
+
+
+#: Roles of the two populations that an answer draws on.
+HISTORY_ROLES, CURATED_ROLES = ("user", "assistant", "synthesis"), ("note",)
+
+
+def population_scope(role: Column, workspace: Column, population: str, root: str | None = None) -> Column:
+    """Rows of a population: notes of any workspace, or history of one (of all without a root)."""
+    if population == "curated":
+        return F.coalesce(role.isin(*CURATED_ROLES), F.lit(False))
+    scope = in_scope(workspace, root) if root is not None else F.lit(True)
+    return F.coalesce(role.isin(*HISTORY_ROLES), F.lit(False)) & scope
+
+
+def renamed_home(path: Column, home: str) -> Column:
+    """The canonical form of a path; a scratch folder keeps its own, as its project is decoded elsewhere."""
+    return F.when(scratchpad_segment(path).isNotNull(), path).otherwise(canonical(path, home))
+
+
+def link_candidates(note: Column, relative: Column, from_root: Column, tree: str) -> Column:
+    """Paths that a link may mean, in order: beside its note, from the root, and in a tree; null where a
+    path would leave the root."""
+    folder = F.regexp_replace(note, r"[^/]*$", "")
+    return F.array(normal_path(F.concat(folder, relative)), normal_path(from_root), normal_path(F.concat(F.lit(f"{tree}/"), from_root)))

@@ -117,3 +117,13 @@ def annotated(evidence: DataFrame, supersessions: DataFrame, hosts: DataFrame) -
     id, hosts; an answer's rows."""
     marks = supersessions.select("id", "superseded_by", F.col("at").alias("superseded_at"))
     return evidence.join(marks, "id", "left").join(hosts.select("id", "hosts"), "id", "left")
+
+
+def declared_outdated(rows: DataFrame, text_col: str, at_col: str, role_col: str, id_col: str, retirements: list[tuple]) -> DataFrame:
+    """Rows with ``outdated``: of notes, only the one that declares a retirement (its id comes with it); of
+    others, those that name a retired term and are older than the retirement."""
+    flag = F.lit(False)
+    for terms, since, declared_by in retirements:
+        older = F.coalesce(F.col(at_col), F.lit("")) < since
+        flag = flag | (mentions(F.col(text_col), terms) & F.when(F.col(role_col) == "note", F.col(id_col) == declared_by).otherwise(older))
+    return rows.withColumn("outdated", F.coalesce(flag, F.lit(False)))

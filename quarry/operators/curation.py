@@ -190,3 +190,10 @@ def review_sheet(placed: DataFrame) -> DataFrame:
     """Lines of a review: pages by number of claims, each with its claims.  placed: page, id, text."""
     size = placed.groupBy("page").agg(F.count("*").alias("claims"))
     return placed.join(size, "page").withColumn("line", F.row_number().over(W.orderBy(F.desc("claims"), "page", "id")))
+
+
+def claim_sources(facts: DataFrame, key: str, source: str) -> DataFrame:
+    """Claims with their sightings and distinct sources.  Sources are summed up one by one before they are
+    listed, so a list is as long as there are sources and not sightings."""
+    per = facts.groupBy(key, source).agg(F.count("*").alias("n"))
+    return per.groupBy(key).agg(F.sum("n").alias("sightings"), F.array_sort(F.collect_list(source)).alias("sources"))

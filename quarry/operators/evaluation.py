@@ -66,3 +66,10 @@ def first_hits(questions: DataFrame, answers: DataFrame, depth: int = DEPTH) ->
     wanted = questions.select("question", F.explode(F.array_distinct("accepted")).alias("source"))
     hits = ranked.join(wanted, ["question", "source"]).groupBy("question").agg(F.min("rank").alias("rank"))
     return questions.select("question").join(hits, "question", "left")
+
+
+def outcomes(results: DataFrame, group: list[str], rank: str = "rank", depth: int = DEPTH) -> DataFrame:
+    """Questions, those that failed, warnings given, and hits of those that did not fail.  Columns: error
+    (null if none), warnings (array)."""
+    hit = F.coalesce(F.col(rank) <= depth, F.lit(False)) & F.col("error").isNull()
+    return results.groupBy(*group).agg(F.count("*").alias("questions"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.sum(F.size(F.coalesce("warnings", F.array().cast("array<string>")))).cast("long").alias("warnings"), F.count_if(hit).alias("hits"))

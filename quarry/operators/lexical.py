@@ -143,3 +143,17 @@ def idf_overlap(docs: DataFrame, id_col: str, text_col: str, claim: str, limit:
         score = score + F.when(F.col("hit")[i], F.log(F.col("n_docs") / F.col("df")[i])).otherwise(0.0)
     scored = rows.crossJoin(F.broadcast(stats)).select(id_col, F.round(score, 6).alias("score"))  # one row of statistics
     return scored.where("score > 0").orderBy(F.desc("score"), id_col).limit(limit)
+
+
+def verified_passes(docs: DataFrame, id_col: str, text_col: str, query: str, limit: int) -> DataFrame:
+    """Rows that hold punctuated terms as written: those with all terms (``lane_pass`` 1) before those with
+    any.  One scan tests all terms."""
+    raw = [r for r in query.split() if len(re.findall(r"[^\W_]+", r)) > 1]
+    if not raw:
+        return docs.select(id_col, F.lit(0).alias("lane_pass")).limit(0)
+    # a cheap look for a term's first part spares most texts the pattern
+    low = fold(F.coalesce(F.col(text_col), F.lit("")))
+    has = [F.contains(F.lower(low), F.lit(re.findall(r"[^\W_]+", term)[0].lower())) & low.rlike(adjacency_pattern(term)) for term in raw]
+    rows = docs.select(id_col, F.array(*has).alias("has")).where(F.exists("has", lambda h: h))
+    lane = F.when(F.forall("has", lambda h: h) & F.lit(len(raw) > 1), 1).otherwise(2)
+    return rows.select(id_col, lane.alias("lane_pass")).orderBy("lane_pass", id_col).limit(limit)

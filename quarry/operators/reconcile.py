@@ -136,3 +136,11 @@ def metadata_upserts(stored: DataFrame, arriving: DataFrame, key: str, value: st
     both = arriving.select(key, F.col(value).alias("_new")).join(stored.select(key, F.col(value).alias("_old")), key, "left")
     action = F.when(F.col("_new").isNull(), F.when(F.col("_old").isNotNull(), "delete")).when(~F.col("_new").eqNullSafe(F.col("_old")), "write")
     return both.select(key, action.alias("action")).where("action IS NOT NULL")
+
+
+def sampled_membership(rows: DataFrame, known: DataFrame, id_col: str, cited: str, size: int) -> DataFrame:
+    """A fixed random sample of rows with ``known``, whether what they cite exists."""
+    order = F.sha2(F.concat(F.lit("membership:"), F.col(id_col).cast("string")), 256)
+    sample = rows.select(id_col, cited, order.alias("_order")).orderBy("_order", id_col).limit(size)
+    marks = known.select(cited).distinct().withColumn("_there", F.lit(True))
+    return marks.join(F.broadcast(sample), cited, "right").withColumn("known", F.coalesce("_there", F.lit(False))).drop("_there", "_order")  # the sample's rows

@@ -114,3 +114,16 @@ def ranked_with_ties(rows: DataFrame, score: str, id_col: str, limit: int) -> Da
     cutoff = rows.orderBy(F.desc(score)).limit(limit).agg(F.min(score).alias("_cut"), F.count("*").alias("_n"))
     kept = rows.crossJoin(F.broadcast(cutoff)).where(F.col(score) >= F.col("_cut")).drop("_cut", "_n")  # one row
     return kept.withColumn("position", F.row_number().over(W.orderBy(F.desc(score), id_col)))
+
+
+def providers(rows: DataFrame, name: str, size: str) -> DataFrame:
+    """Records and characters of each provider, numbered by size."""
+    from pyspark.sql import Window as W
+
+    counts = rows.groupBy(F.col(name).alias("provider")).agg(F.count("*").alias("records"), F.sum(size).cast("long").alias("chars"))
+    return counts.withColumn("by_size", F.row_number().over(W.orderBy(F.desc("records"), "provider")))  # a row per provider
+
+
+def lane_freshness(events: DataFrame, lane: str, stamp: str, malformed) -> DataFrame:
+    """Newest use of each lane, nulls aside, with its uses and malformed ones."""
+    return events.groupBy(lane).agg(F.max(stamp).alias("newest"), F.count_if(malformed).alias("malformed"), F.count("*").alias("n"))

@@ -125,6 +125,15 @@ class WordIndex:
         lane = F.when((F.col("matched") == len(terms)) & F.lit(len(terms) > 1), 1).otherwise(2)
         return self.scored(terms, eligible).select("id", lane.alias("lane_pass"), "score").orderBy("lane_pass", F.desc("score"), "id").limit(limit)
 
+    def narrow_then_selective(self, words: list[str], limit: int, share: float, eligible: DataFrame | None = None) -> DataFrame:
+        """Top documents with all words, then those with any word that at most a share of documents has (any
+        of all words, if none is so rare)."""
+        df = {r["tok"]: r["df"] for r in self.frequencies(words).collect()}  # a row per word of the query
+        rare = [w for w in words if df.get(w, 0) <= share * self.n_docs] or words
+        every = self.scored([[w] for w in words], eligible).where(F.col("matched") == len(words)).select("id", F.lit(1).alias("lane_pass"), "score")
+        some = self.scored([[w] for w in rare if df.get(w, 0)] or [[words[0]]], eligible).select("id", F.lit(2).alias("lane_pass"), "score")
+        return every.unionByName(some.join(every.select("id"), "id", "left_anti")).orderBy("lane_pass", F.desc("score"), "id").limit(limit)
+
     def phrase(self, parts: list[str]) -> DataFrame:
         """Documents that hold words next to each other, with how often."""
         if not parts:
