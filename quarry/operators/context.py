@@ -101,15 +101,16 @@ def selected(candidates: DataFrame, text_col: str, limit: int, max_chars: int) -
     key = F.sha2(question_key(F.col(text_col)), 256)
     listed = candidates.agg(F.sort_array(F.collect_list(F.struct("position", F.col("id").alias("id"), F.col("parent").alias("parent"), key.alias("key")))).alias("all"))
     kind = dict(candidates.dtypes)["id"]
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{kind}>").alias("ids"))
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{kind}>").alias("ids"), F.array().cast("array<int>").alias("at"))
 
     def take(state: Column, row: Column) -> Column:
         fits = (row["parent"].isNull() | F.array_contains(state["ids"], row["parent"])) & ~F.array_contains(state["seen"], row["key"])
-        return F.when(fits, F.struct(F.concat(state["seen"], F.array(row["key"])).alias("seen"), F.concat(state["ids"], F.array(row["id"])).alias("ids"))).otherwise(state)
+        added = F.struct(F.concat(state["seen"], F.array(row["key"])).alias("seen"), F.concat(state["ids"], F.array(row["id"])).alias("ids"), F.concat(state["at"], F.array(row["position"].cast("int"))).alias("at"))
+        return F.when(fits, added).otherwise(state)
 
-    taken = listed.select(F.slice(F.aggregate("all", start, take)["ids"], 1, min(limit, max_chars)).alias("ids"))
-    places = taken.select(F.posexplode("ids").alias("place", "id")).withColumn("place", F.col("place") + 1)
-    return candidates.join(F.broadcast(places), "id")  # an answer's rows
+    taken = listed.select(F.slice(F.aggregate("all", start, take)["at"], 1, min(limit, max_chars)).alias("at"))
+    places = taken.select(F.posexplode("at").alias("place", "position")).withColumn("place", F.col("place") + 1)
+    return candidates.join(F.broadcast(places), "position")  # an answer's rows
 
 
 def annotated(evidence: DataFrame, supersessions: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -127,3 +128,11 @@ def declared_outdated(rows: DataFrame, text_col: str, at_col: str, role_col: str
         older = F.coalesce(F.col(at_col), F.lit("")) < since
         flag = flag | (mentions(F.col(text_col), terms) & F.when(F.col(role_col) == "note", F.col(id_col) == declared_by).otherwise(older))
     return rows.withColumn("outdated", F.coalesce(flag, F.lit(False)))
+
+
+def query_names(query: str, retirements: list[tuple[list[str], str]]) -> bool:
+    """Whether a question itself asks for a retired thing, so that nothing is demoted for naming it."""
+    import re
+
+    terms = [re.escape(t) for terms, *_ in retirements for t in terms]
+    return bool(terms) and re.search(r"(?i)(^|[^\w])(" + "|".join(terms) + r")([^\w]|$)", query) is not None

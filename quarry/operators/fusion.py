@@ -79,7 +79,8 @@ def with_links(candidates: DataFrame, links: DataFrame) -> DataFrame:
     """Candidates in their order, every note followed by its links.
 
     candidates: population, id, position; links: parent, id, ordinal.  Rows of one answer."""
-    own = candidates.select("population", "id", F.lit(None).cast("long").alias("parent"), "position", F.lit(-1).alias("ordinal"))
+    kind = dict(candidates.dtypes)["id"]
+    own = candidates.select("population", "id", F.lit(None).cast(kind).alias("parent"), "position", F.lit(-1).alias("ordinal"))
     notes = candidates.where("population <> 'history'").select(F.col("id").alias("parent"), "position")
     followed = links.join(notes, "parent").select(F.lit("link").alias("population"), "id", "parent", "position", F.col("ordinal").cast("int").alias("ordinal"))
     both = own.unionByName(followed)

@@ -157,3 +157,20 @@ def verified_passes(docs: DataFrame, id_col: str, text_col: str, query: str, lim
     rows = docs.select(id_col, F.array(*has).alias("has")).where(F.exists("has", lambda h: h))
     lane = F.when(F.forall("has", lambda h: h) & F.lit(len(raw) > 1), 1).otherwise(2)
     return rows.select(id_col, lane.alias("lane_pass")).orderBy("lane_pass", id_col).limit(limit)
+
+
+#: File names that many files have.
+GENERIC_FILE_NAMES = (
+    "__init__.py", "index.js", "index.ts", "index.tsx", "main.py", "main.go", "main.rs", "mod.rs", "lib.rs", "package.json", "readme.md", "todo.md", "todo_log.md",
+    "agents.md", "claude.md", "config.json", "settings.json", "page.tsx", "layout.tsx", "route.ts", "utils.ts", "types.ts", "pyproject.toml", "cargo.toml", "makefile", "dockerfile",
+)
+
+
+def file_phrase(path: str) -> str | None:
+    """The phrase by which texts name a file: its name, with its folder if many files have that name; a
+    file of such a name at the root has none."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if not name or name.lower() not in GENERIC_FILE_NAMES:
+        return name or None
+    parent = folder.rpartition("/")[2]
+    return f"{parent}/{name}" if parent not in ("", ".") else None

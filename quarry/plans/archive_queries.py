@@ -387,7 +387,7 @@ def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ordered(spark, sf_dir).withColumnRenamed("place", "position")
     known = rows.join(table(spark, sf_dir, "documents").select(F.col(D).alias("id")), "id", "left_semi")
     texts = known.withColumn("text", F.concat(F.lit("k"), (F.col("id") % 25).cast("string")))
-    return context.selected(texts, "text", 12, 16_000).select("id", "place").distinct()
+    return context.selected(texts, "text", 12, 16_000).select("id", "place")
 
 
 @query(

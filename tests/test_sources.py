@@ -6,9 +6,11 @@ import json
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.engine import Engine
+from quarry.operators import lexical
 from quarry.sources import readers, writers
 from quarry.streaming import streams
 
@@ -160,3 +162,30 @@ def test_late_rows_and_batches(spark, tmp_path):
     spark.createDataFrame([(datetime(2026, 1, 21), "x", 8, 1.0)], schema).coalesce(1).write.parquet(f"{root}/part=9")
     streams.ingest_stream(stream(), take, mark).awaitTermination()
     assert spark.read.parquet(out).count() == 7
+
+
+def test_context_of_two_populations(spark):
+    rows = [("h1", "user", "red apple pie", "/a", "2024-01-01"), ("h2", "assistant", "red apple jam", "/a", "2024-01-02"), ("h3", "user", "red apple tart", "/b", "2024-01-03"), ("n1", "note", "apple red note", "/x", "2024-02-01"), ("n2", "note", "second red apple note", "/x", "2024-02-02"), ("l1", "note", "linked text", "/x", None), ("s1", "source", "red apple source", "/a", None)]
+    records = spark.createDataFrame(rows, "record_id string, role string, text string, workspace string, authored_at string")
+    links = spark.createDataFrame([("n1", "l1", 0), ("n1", "h1", 1), ("gone", "l1", 0)], "parent string, id string, ordinal int")
+    old = spark.createDataFrame([("h1", "h2", "2024-03-01")], "id string, superseded_by string, at string")
+    hosts = spark.createDataFrame([("h2", ["m"])], "id string, hosts array<string>")
+    engine = Engine(records)
+    found = engine.context("red apple", scope="/a", links=links, supersessions=old, hosts=hosts).collect()
+    assert [r.record_id for r in found] == ["n1", "l1", "h2", "n2", "h1"] or [r.record_id for r in found][-1] == "h1"
+    by = {r.record_id: r for r in found}
+    assert set(by) == {"h1", "h2", "n1", "n2", "l1"} and by["l1"].parent == "n1" and by["l1"].via == "link"
+    assert by["h1"].superseded_by == "h2" and by["h2"].hosts == ["m"] and by["n1"].hosts is None
+    judged = engine.context("red apple", scope="/a", reranker=lambda text, query: F.when(F.contains(text, F.lit("second")), 5.0).when(F.contains(text, F.lit("jam")), 1.0).otherwise(-2.0)).collect()
+    assert [r.record_id for r in judged] == ["n2", "h2"]
+    named = engine.context("apple pie", retirements=[(["pie"], "2030-01-01")]).collect()
+    assert not any(r.outdated for r in named)
+    more, outcome = engine.remember(spark.createDataFrame([("r1", "synthesis", "new red apple", "/a", "2025-01-01", ["h1"]), ("r2", "synthesis", "x", "/a", None, ["nope"])], "record_id string, role string, text string, workspace string, authored_at string, supersedes array<string>"))
+    assert {r.record_id: (r.outcome, r.missing) for r in outcome.collect()} == {"r1": ("remembered", None), "r2": ("refused", ["nope"])} and more.records.count() == 8
+
+
+def test_file_phrases(spark):
+    assert [lexical.file_phrase(p) for p in ("src/reader.py", "src/pay/index.ts", "README.md", "a/README.md", "./main.py", "")] == ["reader.py", "pay/index.ts", None, "a/README.md", None, None]
+    rows = [("1", "user", "see pay/index.ts", "/a", "2024-01-01"), ("2", "user", "see index.ts of ship", "/a", "2024-01-02")]
+    engine = Engine(spark.createDataFrame(rows, "record_id string, role string, text string, workspace string, authored_at string"))
+    assert [r.record_id for r in engine.file_context("src/pay/index.ts").collect()] == ["1"] and engine.file_context("index.ts").count() == 0
