@@ -14,7 +14,7 @@ from quarry.llm.oracles import ORACLE_SQL
 from quarry.llm.packing import cut_pieces, place, plan_places
 from quarry.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from quarry.llm.quality import fit_quality, with_quality
-from quarry.llm.secrets import labelled_findings, secret_findings, train_forest
+from quarry.llm.secrets import built_in_forest, secret_findings
 from quarry.llm.simple8b import token_file
 from quarry.llm.store import Store
 from quarry.llm.suffix_dedup import duplicate_bytes
@@ -36,7 +36,7 @@ def _held_out(modulus: int, remainder: int) -> Column:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_findings(_table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
+    return secret_findings(_table(spark, sf_dir, "documents"), built_in_forest(spark))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

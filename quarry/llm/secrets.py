@@ -150,15 +150,23 @@ def labelled_findings(spark: SparkSession, n: int = 240) -> DataFrame:
     }
     names, benign = ("token", "api_key", "secret", "password", "db_password", "auth_token", "access_key", "pwd", "client_secret"), ("commit", "sha256", "md5", "checksum", "digest", "revision", "uuid", "order", "card")
     pick = lambda values, salt: f"element_at(array({', '.join(repr(v) for v in values)}), cast(pmod(id * 31 + {salt}, {len(values)}) AS int) + 1)"
-    parts = None
-    for kind, (label, prior, found, after) in kinds.items():
-        rows = spark.range(0, n, 1, 1).selectExpr("id", f"'{kind}' AS kind").selectExpr("id", f"{seed} AS h")
-        rows = rows.selectExpr(
-            "*", "translate(base64(unhex(h)), '+/=', 'xyz') AS b", "left(translate(base64(unhex(h)), '0123456789+/=', 'kLmNpQrStVxyz'), 43) AS letters", f"{pick(names, 3)} AS name", f"{pick(benign, 5)} AS benign", f"{pick(_WORDS, 11)} AS word", f"{pick(_WORDS, 57)} AS word2", f"{pick(('=', ' = ', ': ', ':', ' := '), 1)} AS op", "element_at(array('', '\"', ''''), cast(id % 3 AS int) + 1) AS quote"
-        )
-        rows = rows.selectExpr(f"concat('and the ', {prior}) AS prior", f"{found} AS found", f"{after} AS next", f"{label}D AS label")
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts
+    rows = spark.range(0, n, 1, 1).selectExpr("id", f"explode(array({', '.join(repr(k) for k in kinds)})) AS kind").selectExpr("id", "kind", f"{seed} AS h")
+    rows = rows.selectExpr(
+        "*", "translate(base64(unhex(h)), '+/=', 'xyz') AS b", "left(translate(base64(unhex(h)), '0123456789+/=', 'kLmNpQrStVxyz'), 43) AS letters", f"{pick(names, 3)} AS name", f"{pick(benign, 5)} AS benign", f"{pick(_WORDS, 11)} AS word", f"{pick(_WORDS, 57)} AS word2", f"{pick(('=', ' = ', ': ', ':', ' := '), 1)} AS op", "element_at(array('', '\"', ''''), cast(id % 3 AS int) + 1) AS quote"
+    )
+    by_kind = lambda at: "CASE kind " + " ".join(f"WHEN '{k}' THEN {kind[at]}" for k, kind in kinds.items()) + " END"
+    return rows.selectExpr(f"concat('and the ', {by_kind(1)}) AS prior", f"{by_kind(2)} AS found", f"{by_kind(3)} AS next", f"cast({by_kind(0)} AS double) AS label")
+
+
+_FITTED: dict[str, str] = {}
+
+
+def built_in_forest(spark: SparkSession) -> str:
+    """The forest of ``labelled_findings``, fitted once in a session: those findings never change."""
+    session = spark.sparkContext.applicationId
+    if session not in _FITTED:
+        _FITTED[session] = train_forest(labelled_findings(spark))
+    return _FITTED[session]
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> str:
