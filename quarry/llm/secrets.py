@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame and SQL only.
 
-A candidate is a password in an address, a token of a known vendor's shape, any eight or more characters
+A candidate is a block of a private key, a password in an address, a token of a known vendor's shape, any eight or more characters
 without white space after the name of a secret, or a run of at least twelve base64-like characters with
 a digit.  The forest sees its length, character transitions, dictionary coverage, whether it stands in a path, and the words and
 signs beside it.  It is trained by MLlib on labelled findings and then written out as one SQL
@@ -31,7 +31,9 @@ _SHAPES = (
     "|eyJ[A-Za-z0-9_-]{8,}+[.][A-Za-z0-9_-]++(?:[.][A-Za-z0-9_-]++)?+|hf_[A-Za-z0-9]{20,}+|npm_[A-Za-z0-9]{20,}+|glpat-[A-Za-z0-9_-]{16,}+|SG[.][A-Za-z0-9=_-]{16,}+[.][A-Za-z0-9=_-]{16,}+|pplx-[A-Za-z0-9]{20,}+"
     "|AGE-SECRET-KEY-1[A-Z0-9]{20,}+|sgp_[A-Za-z0-9_]{20,}+|sl[.][A-Za-z0-9=_-]{40,}+|do[opr]_v1_[a-f0-9]{20,}+|shp(?:at|ca|pa|ss)_[A-Za-z0-9]{20,}+|lin_api_[A-Za-z0-9]{20,}+|pypi-[A-Za-z0-9_-]{20,}+|PMAK-[a-f0-9-]{20,}+|[0-9]{5,16}:AA[A-Za-z0-9_-]{33}"
 )
-_VENDOR = f"^(?:{_SHAPES})|^eyJ"
+#: A private key from its first line to its last.
+_KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]{16,}?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+_VENDOR = f"^(?:{_SHAPES})|^eyJ|^-----BEGIN "
 #: What leads to a value: the user in an address, the names of a secret with their sign.
 _USER = r"://[^\s:/@]*+:"
 _NAMED = rf"(?:(?=[tspacbTSPACB])(?i:(?:{_NAMES})[a-z0-9_.-]*+[\x22\x27]?+(?:\s*+[:=]++>?+\s*+|\s++is\s++)[\x22\x27\x60]?+(?:bearer\s++)?+|bearer\s++))++"
@@ -42,7 +44,7 @@ _VALUE = r"(?:(?<=\x22)[^\s\x22]{8,}+(?=\x22)|(?<=\x27)[^\s\x27]{8,}+(?=\x27)|(?
 #: With its lead, if it has one.  A vendor's token inside a named value stands for itself, and a run that holds
 #: the name of a value is none.
 CANDIDATE = (
-    rf"{_USER}(?:[^\s/]+(?=@)|[^\s@]+(?=@))"
+    rf"{_KEY_BLOCK}|{_USER}(?:[^\s/]+(?=@)|[^\s@]+(?=@))"
     rf"|(?<![A-Za-z0-9])(?:{_SHAPES})={{0,2}}"
     rf"|{_NAMED}(?!\S*?(?:(?<![A-Za-z0-9])(?:{_SHAPES})|{_USER}[^\s@]+@)){_VALUE}"
     rf"|(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9])(?!{_RUN}*?{_NAMED}(?=\S{{8}})){_RUN}{{12,}}+={{0,2}}"
@@ -124,6 +126,8 @@ def labelled_findings(spark: SparkSession, n: int = 240) -> DataFrame:
         "lower": (1, "concat(name, op, quote)", "concat(lower(left(letters, 5 + id % 3)), id % 10, lower(substr(letters, 9, 2)))", "quote"),
         "punctuated": (1, "concat(name, op, quote)", "concat(left(b, 4), element_at(array('!', '@', '&', '#', '%', '*'), cast(id % 6 AS int) + 1), substr(b, 5, 3 + id % 5), element_at(array('!', '#', '$', '^', '?'), cast(id % 5 AS int) + 1), left(h, 2))", "quote"),
         "worded": (1, "concat(name, op, quote)", "concat(initcap(translate(word, 'aeo', '430')), '!', substr(letters, 3, 3), '#', word2)", "quote"),
+        "phrase": (1, "concat(element_at(array('password', 'db_password', 'passwd', 'pwd'), cast(id % 4 AS int) + 1), op, quote)", "concat(word, element_at(array('-', '_', ' ', ''), cast(id % 2 AS int) + 1), word2, '-', substr(letters, 2, 4), element_at(array('!', '?', '#', '&'), cast(id % 4 AS int) + 1), word)", "quote"),
+        "key_block": (1, "concat(element_at(array('key: ', '', 'here '), cast(id % 3 AS int) + 1), '')", "concat('-----BEGIN ', element_at(array('RSA ', '', 'EC '), cast(id % 3 AS int) + 1), 'PRIVATE KEY-----', chr(10), left(base64(unhex(concat(h, h))), 64), chr(10), left(b, 20 + id % 20), chr(10), '-----END ', element_at(array('RSA ', '', 'EC '), cast(id % 3 AS int) + 1), 'PRIVATE KEY-----')", "chr(10)"),
         "letters": (1, "concat(name, op, quote)", "left(letters, 14 + id % 20)", "quote"),
         "face": (1, "concat(word, ' ')", "concat('hf_', left(letters || reverse(letters), 34))", "' '"),
         "letter_id": (1, "concat(word, ' ')", "concat('AKIA', upper(left(letters, 16)))", "' '"),
