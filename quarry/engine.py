@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.paths import in_scope, population_scope
 from quarry.functions.text import excerpt
 from quarry.operators import context, dense, fusion, lexical, lifecycle
+from quarry.operators.word_index import WordIndex
 
 LANES = ("auto", "words", "substring", "dense")
 HISTORY_WEIGHT, CURATED_WEIGHT = 0.5, 0.3
@@ -23,6 +24,16 @@ class Engine:
 
     records: DataFrame
     vectors: DataFrame | None = None
+    #: A persisted index of the records' texts; without one, the word lane scans them.
+    index: WordIndex | None = None
+
+    def _words(self, rows: DataFrame, query: str, depth: int, all_rows: bool) -> DataFrame:
+        """The word lane over some rows: record_id, lane_pass, score."""
+        checked = lexical.verified(rows, "text", query)
+        if self.index is None:
+            return lexical.search_words(checked, "record_id", "text", query, depth)
+        eligible = None if all_rows and checked is rows else checked.select(F.col("record_id").alias("id"))
+        return self.index.search(lexical.query_terms(query), depth, eligible).withColumnRenamed("id", "record_id")
 
     def _scoped(self, scope: str | None) -> DataFrame:
         return self.records if scope is None else self.records.where(in_scope(F.col("workspace"), scope))
@@ -34,7 +45,7 @@ class Engine:
         if lane == "substring":
             return lexical.search_substring(rows, "record_id", "text", query, limit).select("record_id", "score")
         depth = max(limit, fusion.DEPTH)
-        words = lexical.search_words(lexical.verified(rows, "text", query), "record_id", "text", query, depth)
+        words = self._words(rows, query, depth, scope is None)
         if lane == "words" or self.vectors is None or vector is None:
             if lane == "dense":
                 raise ValueError("the dense lane needs vectors and a query vector")
@@ -52,7 +63,7 @@ class Engine:
         if lane == "substring":
             hits = lexical.search_substring(rows, "record_id", "text", query, depth)
         else:
-            words = lexical.search_words(lexical.verified(rows, "text", query), "record_id", "text", query, max(depth, fusion.DEPTH))
+            words = self._words(rows, query, max(depth, fusion.DEPTH), False)
             if lane == "words" or self.vectors is None or vector is None:
                 # rows with all words come first: their lane is worth more than any score
                 hits = words.select("record_id", (F.col("score") - 1e6 * F.col("lane_pass")).alias("score"))
@@ -132,7 +143,7 @@ class Engine:
         return rows.join(supersessions.select(F.col("id").alias("record_id"), "superseded_by", F.col("at").alias("superseded_at")), "record_id", "left")
 
     def remember(self, payloads: DataFrame) -> tuple[Engine, DataFrame]:
-        """The engine with new records, and each payload's outcome.  Payloads have the columns of records and
+        """The engine with new records (without an index, which knows the old ones alone), and each payload's outcome.  Payloads have the columns of records and
         ``supersedes``; one that replaces what does not exist is refused as a whole."""
         outcome = lifecycle.remembered(self.records, payloads)
         kept = outcome.where("outcome = 'remembered'").select(self.records.columns)

@@ -136,3 +136,20 @@ def query_names(query: str, retirements: list[tuple[list[str], str]]) -> bool:
 
     terms = [re.escape(t) for terms, *_ in retirements for t in terms]
     return bool(terms) and re.search(r"(?i)(^|[^\w])(" + "|".join(terms) + r")([^\w]|$)", query) is not None
+
+
+def retired_by(rows: DataFrame, retirements: DataFrame, id_col: str, text_col: str, at_col: str) -> DataFrame:
+    """Rows with ``retired_since``, the first day of a retirement whose term they name and that they are
+    older than; null if there is none.
+
+    retirements: term, since, of any number.  Texts meet terms by the term's first word, and only these pairs
+    are tested for the whole term."""
+    from quarry.functions.text import tokens
+
+    word = F.get(tokens(F.col("term")), F.lit(0))
+    wanted = retirements.where(word.isNotNull()).select(word.alias("_word"), "term", "since").distinct()
+    told = rows.select(id_col, text_col, F.coalesce(at_col, F.lit("")).alias("_at"), F.explode(F.array_distinct(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")))).alias("_word"))
+    pairs = told.join(wanted, "_word").where("_at < since")
+    quoted = F.concat(F.lit(r"(?i)(^|[^\w])\Q"), "term", F.lit(r"\E([^\w]|$)"))
+    found = pairs.withColumn("_shape", quoted).where(F.expr(f"`{text_col}` RLIKE _shape")).groupBy(id_col).agg(F.min("since").alias("retired_since"))
+    return rows.join(found, id_col, "left")

@@ -9,9 +9,12 @@ from quarry.functions.paths import in_scope
 
 
 def rows_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One digest per key of its set of rows, whatever their order: the hash of the sorted row hashes."""
+    """One digest per key of its rows, whatever their order: the hash of the sorted digests of its shares,
+    each the hash of the sorted row hashes that begin alike.  No list is longer than a key's 65,536th part,
+    or 65,536 digests."""
     row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
-    return rows.select(key, row.alias("_row")).groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_row")), "\n"), 256).alias("rows_sha256"), F.count("*").alias("n_rows"))
+    shares = rows.select(key, row.alias("_row")).groupBy(key, F.substring("_row", 1, 4).alias("_share")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_row")), "\n"), 256).alias("_digest"), F.count("*").alias("_n"))
+    return shares.groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_digest")), "\n"), 256).alias("rows_sha256"), F.sum("_n").alias("n_rows"))
 
 
 def ingest_actions(stored: DataFrame, arriving: DataFrame, key: str, digest: str, group: str, full: bool = True) -> DataFrame:

@@ -440,3 +440,12 @@ def claim_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proposal_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("source").alias("page"), F.col(D).alias("id"), "text")
     return curation.review_sheet(placed).select("page", "id", "claims", "line")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, lower(text) AS text, coalesce({DAY_SQL}, '') AS day FROM documents) SELECT doc_id, nullif(least(CASE WHEN {names_sql('clown')} AND day < '2024-01-20' THEN '2024-01-20' ELSE '9' END, CASE WHEN {names_sql('stupid')} AND day < '2024-01-15' THEN '2024-01-15' ELSE '9' END, CASE WHEN {names_sql('apache license')} AND day < '2024-01-27' THEN '2024-01-27' ELSE '9' END), '9') AS retired_since FROM d"""
+)
+def retirement_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts against a table of retirements, met by the first word of their terms."""
+    retirements = spark.createDataFrame([("clown", "2024-01-20"), ("stupid", "2024-01-15"), ("Apache License", "2024-01-27"), ("nowhere", "2025-01-01")], "term string, since string")
+    return context.retired_by(_dated(spark, sf_dir), retirements, D, "text", "day").select(D, "retired_since")

@@ -51,7 +51,7 @@ def record_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT conv_id, sha256(string_agg(h, chr(10) ORDER BY h)) AS rows_sha256, count(*) AS n_rows FROM (SELECT conv_id, sha256(turn::varchar || chr(31) || role || chr(31) || text) AS h FROM conversations) GROUP BY conv_id"
+    "WITH s AS (SELECT conv_id, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM (SELECT conv_id, sha256(turn::varchar || chr(31) || role || chr(31) || text) AS h FROM conversations) GROUP BY conv_id, left(h, 4)) SELECT conv_id, sha256(string_agg(d, chr(10) ORDER BY d)) AS rows_sha256, sum(n)::bigint AS n_rows FROM s GROUP BY conv_id"
 )
 def rows_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.rows_digest(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"])

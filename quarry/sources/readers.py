@@ -69,9 +69,16 @@ def registry(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("file", F.col("_metadata.file_name")).where("_corrupt_record IS NULL AND job_key IS NOT NULL").drop("_corrupt_record")
 
 
-def registry_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a registry, newest first, without opening them."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(root).select("path", "modificationTime").orderBy(F.desc("modificationTime"), "path")
+def registry_files(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """Files of a registry, newest first, without opening them: all, or as many as asked for."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(root).select("path", "modificationTime").orderBy(F.desc("modificationTime"), "path")
+    return rows if most is None else rows.limit(most)
+
+
+def written_at(spark: SparkSession, root: str) -> DataFrame:
+    """When a folder's files were last written, in any format, without opening them (one row)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.agg(F.max("modificationTime").alias("written_at"), F.count("*").alias("files"))
 
 
 def query_log(spark: SparkSession, root: str, days: int, today: date) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quarry.engine import Engine
 from quarry.operators import lexical
+from quarry.operators.word_index import WordIndex
 from quarry.sources import readers, writers
 from quarry.streaming import streams
 
@@ -189,3 +190,19 @@ def test_file_phrases(spark):
     rows = [("1", "user", "see pay/index.ts", "/a", "2024-01-01"), ("2", "user", "see index.ts of ship", "/a", "2024-01-02")]
     engine = Engine(spark.createDataFrame(rows, "record_id string, role string, text string, workspace string, authored_at string"))
     assert [r.record_id for r in engine.file_context("src/pay/index.ts").collect()] == ["1"] and engine.file_context("index.ts").count() == 0
+
+
+def test_engine_with_an_index_answers_alike(spark, tmp_path):
+    rows = [(str(i), ("user", "assistant", "note")[i % 3], f"red apple {'pie ' * (i % 4)}{'jam' if i % 5 else ''}", f"/w/{i % 2}", f"2024-01-{i % 28 + 1:02d}") for i in range(40)]
+    records = spark.createDataFrame(rows, "record_id string, role string, text string, workspace string, authored_at string")
+    index = WordIndex.build(records, "record_id", "text", str(tmp_path / "index"))
+    plain, fast = Engine(records), Engine(records, None, index)
+    for scope in (None, "/w/1"):
+        assert [tuple(r) for r in plain.search("pie jam", "words", 7, scope).collect()] == [tuple(r) for r in fast.search("pie jam", "words", 7, scope).collect()]
+        assert [r.record_id for r in plain.context("pie jam", scope).collect()] == [r.record_id for r in fast.context("pie jam", scope).collect()]
+    assert index.orphans().first().wrong_lengths == 0
+    assert readers.written_at(spark, str(tmp_path / "index")).first().files > 2
+    (tmp_path / "r").mkdir()
+    for n in range(3):
+        (tmp_path / f"r/{n}.json").write_text("{}")
+    assert readers.registry_files(spark, str(tmp_path / "r"), 2).count() == 2
