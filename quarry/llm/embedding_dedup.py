@@ -244,11 +244,21 @@ def _tiles(store: Store, classes: DataFrame, turn, cosine: float) -> tuple[DataF
     large = store.put(groups.where(F.col("n") > TILE), "large")
     total = large.agg(F.sum("n")).first()[0] or 0
     rows = classes.join(large.select("label", "dim"), ["label", "dim"], "left_semi").where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(total, 1)))).orderBy("rep")
-    sample = rows.select("label", "dim", "embedding").toArrow() if total else None
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, dims = np.zeros((len(batch), LEADING + 1)), batch.column(1).to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                out[own] = lead(batch.column(2).take(pa.array(own)), dim)
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(LEADING + 1))], ["label", "dim", *names])
+
+    kind = StructType([classes.schema["label"], classes.schema["dim"], *(StructField(n, DoubleType()) for n in names)])
+    sample = rows.select("label", "dim", "embedding").mapInArrow(measure, kind).toArrow() if total else None  # at most SAMPLE rows of a few numbers
     trees: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     for label, dim, n in large.select("label", "dim", "n").collect():
         own = sample.filter(pc.and_(pc.equal(sample.column("label"), pa.scalar(label, sample.schema.field("label").type)), pc.equal(sample.column("dim"), dim)))
-        points = lead(own.column("embedding"), dim) if len(own) else np.zeros((0, LEADING + 1))
+        points = np.stack([own.column(n).to_numpy() for n in names], 1)
         trees[label, dim] = cell_cuts(points, int(-(-n // TILE) - 1).bit_length())
     known = spark.sparkContext.broadcast(trees)
     at = [classes.columns.index(c) for c in ("label", "dim", "embedding")]
@@ -260,10 +270,10 @@ def _tiles(store: Store, classes: DataFrame, turn, cosine: float) -> tuple[DataF
             for dim in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == dim)
                 out[own] = lead(batch.column(at[2]).take(pa.array(own)), dim)
-                names = labels.take(pa.array(own)).dictionary_encode()
-                for k, label in enumerate(names.dictionary.to_pylist()):
+                coded = labels.take(pa.array(own)).dictionary_encode()
+                for k, label in enumerate(coded.dictionary.to_pylist()):
                     if (label, dim) in known.value:
-                        rows = own[names.indices.to_numpy() == k]
+                        rows = own[coded.indices.to_numpy() == k]
                         cell[rows] = cells(out[rows], known.value[label, dim])
             yield pa.record_batch([*batch.columns, pa.array(cell), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(LEADING + 1))], [*batch.schema.names, "cell", *(f"c{k}" for k in range(LEADING + 1))])
 
