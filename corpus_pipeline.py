@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.llm.decontamination import without_leaks
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.packing import pack
-from quarry.llm.secrets import labelled_findings, train_forest, without_secrets
+from quarry.llm.secrets import built_in_forest, without_secrets
 from quarry.llm.store import Store
 from quarry.llm.tokens import tokenizer_path
 from quarry.llm.toxicity import THRESHOLD, fit_toxicity, with_toxicity
@@ -58,7 +58,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are; whole texts are scanned; repeated rows are masked alike; columns
     of any name stay; an empty table gives an empty one."""
-    return without_secrets(docs, train_forest(labelled_findings(spark)))
+    return without_secrets(docs, built_in_forest(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
