@@ -7,10 +7,10 @@ all bins are full, so every coordinate fills and a large set costs little more t
 Groups of any size stay bounded.  Documents of one shingle set collapse to their smallest id before
 anything is paired.  Two sets are a candidate pair if they share a band.  Every set is first verified
 against its anchor, the smallest set that it shares a band with; the links found so settle most bands, in
-which all sets are connected.  In the others the sets outside the largest connected part are compared
-with all sets of the band: sets lie in blocks of bounded size by their anchor, and two blocks meet if
-some band needs it.  A block returns a spanning forest instead of pairs.  No bucket, block or partner
-count is capped, and every candidate pair that is not yet connected is verified on full sets.
+which all sets are connected.  In the others, sets of different parts are compared only if they share one
+of the rare shingles that no link can do without (prefix filter) and enough shingles follow it in both
+(position filter); both filters are exact.  No bucket or partner count is capped, and every candidate
+pair that may be a link and is not yet connected is verified on full sets.
 """
 
 from __future__ import annotations
@@ -19,19 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
 from quarry.llm.store import Store
-from quarry.llm.words import distinct_by_row, hashed_words, mix, shingles
+from quarry.llm.words import distinct_by_row, hashed_words, mix, row_chunks, shingles
 
 COORDINATES = 128
 BANDS, ROWS = 32, 4
 SHINGLE = 5
 PERCENT = 75
-#: Shingles that a block of the residual comparison holds, about.
+#: Shingles of the sets that meet one copy of their anchor, about.
 BLOCK = 150_000
+#: Rows of a shared shingle that are compared in one place; shares that a set's pairs are confirmed in.
+SHARE, SHARES = 1_000, 64
+#: Comparisons a row beyond which sets are first connected through central ones.
+PAIRS = 16
 
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 56) - 1)
@@ -133,41 +137,12 @@ def _verify_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array(ids[yes]), pa.array(anchors[yes])], ["a", "b"])
 
 
-def _verify_blocks(table: pa.Table) -> pa.Table:
-    """Links between the sets of two blocks that share a band, as a spanning forest: pairs are tried by
-    falling sketch agreement and skipped once their ends are connected."""
-    ids, part, side = (table.column(c).to_numpy() for c in ("id", "part", "side"))
-    items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items").combine_chunks()]
-    sizes = np.array([len(x) for x in items])
-    sketches = sketch(np.concatenate(items), np.concatenate([[0], np.cumsum(sizes)]))
-    bands = band_keys(sketches)
-    parent = {x: x for x in [*ids.tolist(), *part.tolist()]}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for x, y in zip(ids.tolist(), part.tolist(), strict=True):
-        parent[root(x)] = root(y)
-    one_block = len(np.unique(side)) == 1
-    right = np.flatnonzero(side == side.max())
-    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in np.flatnonzero(side == side.min()):
-        near = right[(right > i) & (part[right] != part[i])] if one_block else right[part[right] != part[i]]
-        near = near[100 * np.minimum(sizes[near], sizes[i]) >= PERCENT * np.maximum(sizes[near], sizes[i])]
-        near = near[(bands[near] == bands[i]).any(axis=1)]
-        if len(near):
-            pairs.append((np.full(len(near), i), near, (sketches[near] == sketches[i]).mean(axis=1)))
-    found: list[tuple[int, int]] = []
-    if pairs:
-        rows, cols, agree = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        for k in np.lexsort((ids[cols], ids[rows], -agree)):
-            x, y = int(ids[rows[k]]), int(ids[cols[k]])
-            if (p := root(x)) != (q := root(y)) and _linked(items[rows[k]], items[cols[k]]):
-                parent[p] = q
-                found.append((x, y))
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
+        for a, b in row_chunks(np.concatenate([[0], np.cumsum(8 * n)])):
+            values = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items").slice(a, b - a)])
+            yield pa.record_batch([pa.array(np.repeat(ids[a:b], n[a:b])), pa.array(np.repeat(n[a:b], n[a:b])), pa.array(values)], ["id", "n", "shingle"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", store: Store | None = None) -> DataFrame:
@@ -199,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = sets.select(F.col("id").alias("anchor"), F.col("items").alias("anchor_items")).join(copies, "anchor")
     links = store.put(dealt.where("id <> anchor").join(anchors, ["anchor", "block"]).select("id", "anchor", "items", "anchor_items").mapInArrow(_verify_anchors, "a long, b long"), "links")
     parts = connected_components(store, links)
-    rest = _links_of_mixed_bands(store, sets, blocks, in_bucket, parts)
+    rest = _links_of_mixed_bands(store, sets, in_bucket, links, parts)
     found = connected_components(store, links.unionByName(rest))
     final = store.put(
         of_class.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")),
@@ -216,17 +191,72 @@ def _spot(id_col: str) -> F.Column:
     return F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int")
 
 
-def _links_of_mixed_bands(store: Store, sets: DataFrame, blocks: DataFrame, in_bucket: DataFrame, parts: DataFrame) -> DataFrame:
-    """Links in the bands whose sets the anchors left in several connected parts."""
-    placed = sets.select("id", "anchor").join(blocks, "anchor").select("id", F.xxhash64("anchor", _spot("id")).alias("block"))
-    placed = store.put(placed.join(parts, placed["id"] == parts["node"], "left").select("id", "block", F.coalesce("component", "id").alias("part")), "placed")
-    # of each band: its blocks, by the connected parts of their sets
-    held = store.put(in_bucket.select("key", "id").join(placed, "id").groupBy("key", "part", "block").agg(F.count("*").alias("n")), "held")
-    size = held.groupBy("key", "part").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = store.put(held.join(size.select("key", F.col("top")["part"].alias("top")), "key").groupBy("key", "block").agg(F.max(F.col("part") != F.col("top")).alias("outside")), "mixed")
-    other = mixed.select("key", F.col("block").alias("other"))
-    met = mixed.where("outside").join(other, "key").select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
-    met = store.put(met, "met")
-    rows = sets.select("id", "items").join(placed, "id")
-    sides = met.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block")).withColumn("side", (F.col("block") == F.col("high")).cast("int"))
-    return store.put(rows.join(sides, "block").groupBy("low", "high").applyInArrow(_verify_blocks, "a long, b long"), "mixed_links")
+def _confirmed(store: Store, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs ``id``, ``anchor`` that are links of full sets; a set of many pairs is copied for shares of them."""
+    ends = (("id", "anchor", "items"), ("anchor", "id", "anchor_items"))
+    pairs = store.put(pairs.select("id", "anchor", *(F.pmod(F.xxhash64(other), F.lit(SHARES)).alias(f"{end}_share") for end, other, _ in ends)), "pairs")
+    both = pairs
+    for end, _, items in ends:
+        copies = pairs.select(end, f"{end}_share").distinct()
+        both = both.join(sets.select(F.col("id").alias(end), F.col("items").alias(items)).join(copies, end), [end, f"{end}_share"])
+    return store.put(both.select("id", "anchor", "items", "anchor_items").mapInArrow(_verify_anchors, "a long, b long"), "confirmed")
+
+
+def _prefixes(store: Store, sets: DataFrame, in_bucket: DataFrame, parts: DataFrame) -> DataFrame:
+    """Of each set in a band of several connected parts, the rarest shingles that a link cannot do without.
+
+    Shingles are ordered from rare to frequent; ``at`` counts those before.  Two linked sets have at least
+    three quarters of the larger in common, so their first common shingle comes before the last three
+    quarters of either.  Shingles of one set alone only take up places.
+    """
+    placed = in_bucket.select("key", "id").join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    placed = store.put(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    unsettled = placed.join(mixed, "key", "left_semi").select("id").distinct()
+    rows = store.put(sets.hint("merge").join(unsettled, "id").select("id", "n", "items").mapInArrow(_shingle_rows, "id long, n long, shingle long"), "shingles")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("held_by")).where("held_by > 1")
+    of_set = Window.partitionBy("id")
+    alone = F.col("n") - F.count("*").over(of_set)
+    at = alone + F.row_number().over(of_set.orderBy("held_by", "shingle")) - 1
+    ranked = rows.hint("merge").join(counts, "shingle").select("id", "n", "shingle", at.alias("at"))
+    return store.put(ranked.where(f"100 * (n - at) >= {PERCENT} * n"), "prefixes")
+
+
+def _by_shingle(store: Store, prefixes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Prefix rows of the shingles that several connected parts share: whether a row is outside the shingle's
+    largest part, whether it may be the smaller set of a link, and the most central set of that part."""
+    rows = prefixes.join(parts, F.col("id") == F.col("node"), "left").select("id", "n", "shingle", "at", F.coalesce("component", "id").alias("part"))
+    rows = store.put(rows.withColumn("smaller", F.expr(f"{100 + PERCENT} * (n - at) >= {2 * PERCENT} * n")), "parted")
+    held = rows.groupBy("shingle", "part").agg(F.count("*").alias("held"), F.count_if("smaller").alias("smaller"), F.min(F.struct("at", "id")).alias("hub"))
+    size = held.groupBy("shingle").agg(F.max(F.struct("held", "part", "hub")).alias("top"), F.sum("held").alias("all"), F.sum("smaller").alias("able"), F.count("*").alias("parts"))
+    size = size.where("parts > 1 AND able > 0").select("shingle", F.col("top.part").alias("top"), F.col("top.hub.id").alias("hub"), F.ceil(F.col("all") / SHARE).cast("int").alias("blocks"), "all", "able")
+    return store.put(rows.join(size, "shingle").withColumn("outside", F.col("part") != F.col("top")).drop("top"), "by_shingle")
+
+
+def _links_of_mixed_bands(store: Store, sets: DataFrame, in_bucket: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links in the bands whose sets the anchors left in several connected parts.
+
+    Candidates share a shingle of their prefixes after which enough is left of both sets.  Where they are
+    many, every set first meets the most central set of the largest part at its shingles, as long as that
+    halves the comparisons left.
+    """
+    prefixes, found, before = _prefixes(store, sets, in_bucket, parts), None, None
+    while True:
+        rows = _by_shingle(store, prefixes, parts)
+        work, n = rows.where("outside").agg(F.sum(F.when(F.col("smaller"), F.col("all")).otherwise(F.col("able"))), F.count("*")).first()
+        if not n or work <= PAIRS * n or before and 2 * work > before:
+            break
+        before = work
+        near = rows.where("outside").groupBy("id", "hub").agg(F.count("*").alias("shared")).groupBy("id").agg(F.max_by("hub", F.struct("shared", "hub")).alias("anchor"))
+        more = _confirmed(store, sets, near)
+        found = more if found is None else found.unionByName(more)
+        parts = connected_components(store, links.unionByName(found))
+    # each outside row meets all rows of its shingle, or only those that may be the smaller set where it is not
+    x = rows.where("outside").select("shingle", "smaller", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "at", "part")))
+    y = rows.select("shingle", _spot("id").alias("block"), *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "at", "part", "smaller")))
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    may = (F.col("part_x") != F.col("part_y")) & ((100 + PERCENT) * left >= PERCENT * (F.col("n_x") + F.col("n_y")))
+    ends = F.least("id_x", "id_y").alias("id"), F.greatest("id_x", "id_y").alias("anchor")
+    met = [x.where(mine).join(y.where(theirs), ["shingle", "block"]).where(may).select(*ends) for mine, theirs in (("smaller", "true"), ("NOT smaller", "smaller_y"))]
+    rest = _confirmed(store, sets, met[0].unionByName(met[1]).distinct())
+    return rest if found is None else found.unionByName(rest)

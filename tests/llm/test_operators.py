@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import uuid
 import zlib
 
 import numpy as np
@@ -127,6 +128,43 @@ def test_minhash_verifies_bands_of_unlinked_sets_in_blocks(spark, monkeypatch):
     assert len(set(component.values())) > 8
 
 
+def test_minhash_compares_a_large_loose_group_in_proportion_to_its_sets(spark, monkeypatch, tmp_path):
+    """Near copies of one text, many of them below the threshold: sets compared grow with the group, not its square."""
+    random = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        own = [f"w{k}" for k in range(100)]
+        for at in random.choice(100, size=int(random.integers(0, 12)), replace=False):
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    folder = str(tmp_path)
+
+    def note(n):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+            out.write(str(n))
+
+    anchors, blocks = minhash._verify_anchors, getattr(minhash, "_verify_blocks", None)
+
+    def counted_rows(batches):
+        for batch in batches:
+            note(batch.num_rows)
+            yield from anchors(iter([batch]))
+
+    def counted_blocks(table):
+        note(table.num_rows)
+        return blocks(table)
+
+    monkeypatch.setattr(minhash, "_verify_anchors", counted_rows)
+    monkeypatch.setattr(minhash, "_verify_blocks", counted_blocks, raising=False)
+    monkeypatch.setattr(minhash, "BLOCK", 900)
+    _, component = brute_near(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == component
+    assert 30 < len(set(component.values())) < 270
+    compared = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    assert 0 < compared <= 6 * len(rows), compared
+
+
 def test_minhash_on_awkward_rows(odd, empty):
     got = near_duplicates(odd).collect()
     assert len(got) == odd.count()
