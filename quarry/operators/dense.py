@@ -59,15 +59,16 @@ def neighbour_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold:
             for a in range(0, len(left), 256):
                 own = left[a : a + 256]
                 s = x[own] @ x[right].T
-                s = np.copysign(np.floor(np.abs(s) * 1e6 + 0.5) / 1e6, s)  # the score that pairs are ranked by
-                s[(own[:, None] == right[None, :]) | ~(s >= threshold)] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :neighbours]
-                r = np.repeat(np.arange(len(own)), top.shape[1])
-                c = top.reshape(-1)
-                keep = s[r, c] > -np.inf
+                r, c = np.nonzero((s >= threshold - 1e-6) & (own[:, None] != right[None, :]))
+                v = s[r, c]
+                v = np.copysign(np.floor(np.abs(v) * 1e6 + 0.5) / 1e6, v)  # the score that pairs are ranked by
+                best = np.lexsort((c, -v, r))
+                best = best[v[best] >= threshold]
+                r, c, v = r[best], c[best], v[best]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < neighbours
                 out[0].append(ids[own[r[keep]]])
                 out[1].append(ids[right[c[keep]]])
-                out[2].append(s[r[keep], c[keep]])
+                out[2].append(v[keep])
         return pa.table({k: np.concatenate(v) if v else np.zeros(0) for k, v in zip(("a", "b", "score"), out, strict=True)})
 
     kind = dict(rows.dtypes)["id"]

@@ -209,3 +209,33 @@ def test_paired_bootstrap_draws_the_references_resamples(spark, sf, monkeypatch)
     plain = evaluation.paired_difference
     monkeypatch.setattr(evaluation, "paired_difference", lambda *args, resamples=evaluation.RESAMPLES, **more: drawn.append(resamples) or plain(*args, resamples=resamples, **more))
     assert QUERIES["paired_bootstrap"](spark, sf).count() == 1 and drawn == [2000]
+
+
+def test_clusters_of_one_large_component(spark):
+    """A path of 30,000 pairs in order, whose clusters are every other pair, in time that grows with them."""
+    import time
+
+    n = 30_000
+    pairs = spark.range(n).selectExpr("id AS l", "id + 1 AS r")
+    since = time.monotonic()
+    got = {(r.cluster, r.member) for r in curation.equivalence_clusters(pairs, "l", "r", [F.col("l")]).collect()}
+    assert got == {(i - i % 2, i) for i in range(n)} and time.monotonic() - since < 60
+
+
+def test_clusters_follow_their_definition(spark):
+    import random
+
+    rnd = random.Random(7)
+    pairs = [(rnd.randint(0, 9), *p) for p in {tuple(sorted(rnd.sample(range(90), 2))) for _ in range(900)}]
+    given, clusters = {(a, b) for _, a, b in pairs}, []
+    for _, a, b in sorted(pairs):
+        home = next((c for c in clusters if a in c or b in c), None)
+        if home is None:
+            clusters.append([a, b])
+            continue
+        new = b if a in home else a
+        if new not in home and all((min(m, new), max(m, new)) in given for m in home):
+            home.append(new)
+    rows = spark.createDataFrame(pairs, "s long, l long, r long")
+    got = sorted((r.cluster, r.member) for r in curation.equivalence_clusters(rows, "l", "r", [F.col("s")]).collect())
+    assert got == sorted((min(c), m) for c in clusters for m in c)
