@@ -138,18 +138,30 @@ def query_names(query: str, retirements: list[tuple[list[str], str]]) -> bool:
     return bool(terms) and re.search(r"(?i)(^|[^\w])(" + "|".join(terms) + r")([^\w]|$)", query) is not None
 
 
+#: Retirements that are sent to every task; more of them meet the words of texts in an exchange.
+MAX_SENT = 100_000
+
+
 def retired_by(rows: DataFrame, retirements: DataFrame, id_col: str, text_col: str, at_col: str) -> DataFrame:
     """Rows with ``retired_since``, the first day of a retirement whose term they name and that they are
     older than; null if there is none.
 
     retirements: term, since, of any number.  Texts meet terms by the term's first word, and only these pairs
-    are tested for the whole term."""
+    are tested for the whole term.  The words of texts are as many as their tokens: the retirements go to
+    them, and where these are too many, words go to the exchange with an id and without their text."""
     from quarry.functions.text import tokens
 
+    words = F.array_distinct(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")))
     word = F.get(tokens(F.col("term")), F.lit(0))
     wanted = retirements.where(word.isNotNull()).select(word.alias("_word"), "term", "since").distinct()
-    told = rows.select(id_col, text_col, F.coalesce(at_col, F.lit("")).alias("_at"), F.explode(F.array_distinct(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")))).alias("_word"))
-    pairs = told.join(wanted, "_word").where("_at < since")
     quoted = F.concat(F.lit(r"(?i)(^|[^\w])\Q"), "term", F.lit(r"\E([^\w]|$)"))
+    dated = rows.select(id_col, text_col, F.coalesce(at_col, F.lit("")).alias("_at"))
+    if wanted.limit(MAX_SENT + 1).count() <= MAX_SENT:
+        told = dated.select("*", F.explode(words).alias("_word"))
+        pairs = told.join(F.broadcast(wanted), "_word").where("_at < since")
+    else:
+        told = dated.select(id_col, "_at", F.explode(words).alias("_word"))
+        met = told.hint("shuffle_merge").join(wanted, "_word").where("_at < since").select(id_col, "term", "since")
+        pairs = met.join(dated.select(id_col, text_col), id_col)
     found = pairs.withColumn("_shape", quoted).where(F.expr(f"`{text_col}` RLIKE _shape")).groupBy(id_col).agg(F.min("since").alias("retired_since"))
     return rows.join(found, id_col, "left")

@@ -239,3 +239,25 @@ def test_clusters_follow_their_definition(spark):
     rows = spark.createDataFrame(pairs, "s long, l long, r long")
     got = sorted((r.cluster, r.member) for r in curation.equivalence_clusters(rows, "l", "r", [F.col("s")]).collect())
     assert got == sorted((min(c), m) for c in clusters for m in c)
+
+
+def test_words_of_texts_meet_retirements_where_they_are(spark, monkeypatch):
+    """The exploded words, each with its text, are in no exchange before they are summed up."""
+    texts = spark.createDataFrame([(1, "Uses Redis now and then", "2024-01-01"), (2, "redis cluster", None), (3, "credistribution", "2024-01-01"), (4, None, None)], "id int, t string, d string")
+    retired = spark.createDataFrame([("redis", "2024-06-01"), ("Redis Cluster", "2023-01-01"), ("...", "2030-01-01")], "term string, since string")
+    found = context.retired_by(texts, retired, "id", "t", "d")
+    want = [(1, "2024-06-01"), (2, "2023-01-01"), (3, None), (4, None)]
+    assert sorted((r.id, r.retired_since) for r in found.collect()) == want
+    plan = context.retired_by(texts, retired, "id", "t", "d")._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    at = next(n for n, line in enumerate(plan) if "Generate explode" in line)
+    above, least = [], depth(plan[at])
+    for line in reversed(plan[:at]):
+        if depth(line) < least:
+            above.append(line)
+            least = depth(line)
+    first = next(line for line in above if "Exchange" in line or "Aggregate" in line)
+    assert "Aggregate" in first
+    monkeypatch.setattr(context, "MAX_SENT", 0)
+    many = context.retired_by(texts, retired, "id", "t", "d")
+    assert sorted((r.id, r.retired_since) for r in many.collect()) == want
