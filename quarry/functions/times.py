@@ -18,7 +18,9 @@ def normal_stamp(text: Column) -> Column:
 
 def age_class(stamp: Column, now: Column, warn: int = ARCHIVE_WARN, broken: int = ARCHIVE_BROKEN) -> Column:
     """``ok``, ``warn`` or ``broken`` by age in seconds; ``broken`` without a stamp."""
-    age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(stamp.cast("timestamp"))
+    # whole microseconds: a fraction of a second beyond a limit is beyond it
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(stamp.cast("timestamp"))
+    warn, broken = warn * 1_000_000, broken * 1_000_000
     return F.when(age.isNull() | (age > broken), "broken").when(age > warn, "warn").otherwise("ok")
 
 

@@ -261,3 +261,23 @@ def test_words_of_texts_meet_retirements_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(context, "MAX_SENT", 0)
     many = context.retired_by(texts, retired, "id", "t", "d")
     assert sorted((r.id, r.retired_since) for r in many.collect()) == want
+
+
+def test_ages_count_fractions_of_a_second(spark):
+    from quarry.functions.times import age_class
+
+    rows = spark.sql("SELECT timestamp_ntz '2024-01-02 00:00:00.5' AS now, explode(array(timestamp_ntz '2024-01-01 00:00:00.499999', timestamp_ntz '2024-01-01 00:00:00.5', timestamp_ntz '2024-01-01 22:00:00', timestamp_ntz '2024-01-01 22:00:00.5', NULL)) AS at")
+    assert [r.c for r in rows.select(age_class(F.col("at"), F.col("now")).alias("c")).collect()] == ["broken", "warn", "warn", "ok", "broken"]
+
+
+def test_freshness_equals_its_sql_at_the_limits(spark, tmp_path):
+    import duckdb
+
+    from quarry.plans.all_queries import ORACLE_SQL, QUERIES
+
+    rows = spark.sql("SELECT id AS user_id, CASE WHEN id < 4 THEN timestamp_ntz '2024-01-02 00:00:00.75' - make_dt_interval(0, 0, 0, element_at(array(0, 86400.25, 7200.000001, 7200), CAST(id + 1 AS int))) END AS ts FROM range(5)")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = {(r.user_id, r.freshness) for r in QUERIES["freshness_classes"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(ORACLE_SQL["freshness_classes"]).fetchall()) and len(got) == 5
