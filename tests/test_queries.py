@@ -67,3 +67,9 @@ def test_retired_claims_of_undated_texts_equal_their_sql(spark, tmp_path):
     con = retired_documents(spark, tmp_path)
     found = {(r.doc_id, r.retirement) for r in QUERIES["retired_claims"](spark, str(tmp_path)).collect()}
     assert found == set(con.execute(ORACLE_SQL["retired_claims"]).fetchall()) and (0, None) in found
+
+
+def test_retired_records_of_undated_texts_equal_their_sql(spark, tmp_path):
+    con = retired_documents(spark, tmp_path)
+    found = {(r.doc_id, r.role, r.nth) for r in QUERIES["retired_records"](spark, str(tmp_path)).collect()}
+    assert found == set(con.execute(ORACLE_SQL["retired_records"]).fetchall()) and len(found) > 10
