@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.sources.shared import shared_dir
 
 
+#: Bytes of a row group of an arriving file, the least that a task reads of it.
+ROW_GROUP = 8 << 20
+
+
 def event_stream(spark: SparkSession, path: str, late: str = "2 days", batches: int = 4) -> DataFrame:
     """A table as a stream with a watermark on ``ts``: its rows arrive in order of time, in batches.
 
@@ -25,8 +27,8 @@ def event_stream(spark: SparkSession, path: str, late: str = "2 days", batches:
         width = max((days["b"] - days["a"]).total_seconds() / batches, 1.0)
         since = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.lit(days["a"]).cast("timestamp")) / 1e6
         span = F.least(F.lit(batches - 1), F.floor(since / width)).cast("int")
-        for n in range(batches):  # one after the other, as files arrive
-            table.where(span == n).coalesce(1).write.parquet(f"{root}/part={n}")
+        for n in range(batches):  # one after the other, as files arrive; read by all tasks, in row groups that all can read again
+            table.where(span == n).repartition(1).write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/part={n}")
     rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(root)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
@@ -51,16 +53,11 @@ def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_totals(stream: DataFrame) -> DataFrame:
-    """Keyed state: events and value of each user so far, by batch."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for batch in batches:
-            n, total = n + len(batch), total + float(batch["value"].sum())
-        state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+    """Keyed state: events and value of each user so far, by batch.
 
-    return stream.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    A batch is summed by user where it is read, and state holds a sum a user; only users of a batch are in
+    its output."""
+    return stream.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def run_available(spark: SparkSession, result: DataFrame, mode: str = "complete") -> DataFrame:

@@ -240,3 +240,16 @@ def test_updated_index_leaves_what_did_not_change(spark, tmp_path):
     for ask in (lambda x: x.frequencies(["red", "pear", "apple", "plum"]), lambda x: x.search([["red"], ["pear"]], 300), lambda x: x.phrase(["red", "apple"]), lambda x: x.substring("pple", 300), lambda x: x.orphans()):
         assert sorted(map(tuple, ask(three).collect())) == sorted(map(tuple, ask(whole).collect()))
     assert (three.n_docs, three.mean_words, three.mean_grams) == (whole.n_docs, whole.mean_words, whole.mean_grams)
+
+
+def test_running_totals_are_summed_before_they_are_sent(spark, tmp_path):
+    """No row goes to Python, and a user without values has no total, as in SQL."""
+    schema = "ts timestamp, event_type string, user_id long, value double"
+    root = tmp_path / "in"
+    for n, values in enumerate(([(1, 0.5), (2, None), (None, 1.0)], [(1, 2.0), (1, None), (2, None)])):
+        spark.createDataFrame([(datetime(2026, 1, 1 + n), "x", u, v) for u, v in values], schema).coalesce(1).write.parquet(f"{root}/part={n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(root)).withWatermark("ts", "2 days")
+    totals = streams.running_totals(stream)
+    assert "InPandas" not in totals._jdf.queryExecution().analyzed().toString()
+    found = streams.run_available(spark, totals, "update").collect()
+    assert sorted((str(r.user_id), r.n, r.total) for r in found) == [("1", 1, 0.5), ("1", 3, 2.5), ("2", 1, None), ("2", 2, None), ("None", 1, 1.0)]
