@@ -281,3 +281,30 @@ def test_freshness_equals_its_sql_at_the_limits(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = {(r.user_id, r.freshness) for r in QUERIES["freshness_classes"](spark, str(tmp_path)).collect()}
     assert got == set(con.execute(ORACLE_SQL["freshness_classes"]).fetchall()) and len(got) == 5
+
+
+def test_bootstrap_numbers_are_md5s_made_many_at_once(spark):
+    import hashlib
+    import time
+
+    for first, last in ((1, 1), (95, 1_005), (99_998, 100_002), (8_190, 16_390)):
+        for b, numbers in zip((1, 10, 2_000), evaluation.drawn_numbers(7, (1, 10, 2_000), first, last), strict=True):
+            assert numbers.tolist() == [int(hashlib.md5(f"7:{b}:{j}".encode()).hexdigest()[:12], 16) for j in range(first, last + 1)]
+    list(evaluation.drawn_numbers(7, range(1, 3), 1, 1 << 16))
+    since = time.process_time()
+    assert sum(map(len, evaluation.drawn_numbers(7, range(1, 11), 1, 1 << 16))) == 10 << 16
+    assert time.process_time() - since < 1.0
+
+
+def test_bootstrap_counts_are_those_of_its_draws(spark, monkeypatch):
+    import hashlib
+    import statistics
+
+    monkeypatch.setattr(evaluation, "DRAWS", 17)
+    d = sorted((i % 3 == 0) - (i % 5 == 0) for i in range(100))
+    rows = spark.range(100).selectExpr("id", "cast(id % 3 = 0 AS int) AS a", "cast(id % 5 = 0 AS int) AS b")
+    means = [statistics.fmean(d[int(hashlib.md5(f"{evaluation.SEED}:{b}:{j}".encode()).hexdigest()[:12], 16) % 100] for j in range(1, 101)) for b in range(1, 42)]
+    r = evaluation.paired_difference(rows, "id", "a", "b", resamples=41).first()
+    assert (r.low, r.high) == tuple(round(sorted(means)[k], 6) for k in (1, 39)) and (r.questions, r.wins, r.losses) == (100, 27, 13)
+    none = evaluation.paired_difference(rows.where("id < 0"), "id", "a", "b", resamples=5).first()
+    assert (none.questions, none.delta, none.low, none.high) == (0, None, None, None)
